@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 16 << 20, most_rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that ``column`` holds about ``most_bytes`` each; one long row may exceed it."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
+        sizes = pc.binary_length(batch.column(column)).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             held += n or 0
