@@ -15,8 +15,15 @@ def op8_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forced_bpe.digests(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmere.llm import packing
+
+    return packing.pack(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_forced_bpe": op8_forced_bpe,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
