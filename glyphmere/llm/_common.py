@@ -101,3 +101,11 @@ def tokenizer_file(name: str) -> str:
 
 def parts_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def placed(spark: SparkSession, n: int) -> list[int]:
+    """For each i below ``n``, a long that ``repartition(n, ...)`` deals to partition i."""
+    found: dict[int, int] = {}
+    for row in spark.range(0, 40 * n + 200, 1, 1).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("at")).collect():
+        found.setdefault(row["at"], row["id"])
+    return [found.get(i, i) for i in range(n)]

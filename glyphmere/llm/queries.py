@@ -5,10 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from glyphmere.llm._common import documents, tokenizer_file
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmere.llm import fingerprints
+
+    return fingerprints.with_next(documents(spark, sf_dir))
+
+
+def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmere.llm import host_rules
+
+    told = host_rules.rules(documents(spark, sf_dir))
+    return told.withColumn("shrunk_rate", F.round("shrunk_rate", 6))
+
+
 def op8_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmere.llm import forced_bpe
 
@@ -22,6 +36,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_fingerprints": op3_fingerprints,
+    "op4_host_rules": op4_host_rules,
     "op8_forced_bpe": op8_forced_bpe,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
