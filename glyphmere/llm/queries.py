@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmere.llm._common import documents, tokenizer_file
+from glyphmere.llm._common import crc_mod, documents, tokenizer_file
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,15 @@ def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.withColumn("shrunk_rate", F.round("shrunk_rate", 6))
 
 
+def op7_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmere.llm import language_crf
+
+    docs = documents(spark, sf_dir)
+    model = language_crf.train(docs, crc_mod("doc_id", 5) != 0)
+    told = language_crf.predict(docs.select("doc_id", "text"), model)
+    return told.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op8_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmere.llm import forced_bpe
 
@@ -38,6 +47,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op4_host_rules": op4_host_rules,
+    "op7_language_crf": op7_language_crf,
     "op8_forced_bpe": op8_forced_bpe,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
