@@ -20,6 +20,7 @@ no rows.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -43,6 +44,8 @@ FILLINGS_SEEN = 60
 Counts = dict[int, int]
 Plan = list[tuple[tuple[int, ...], int]]
 
+#: The pre-tokens of byte-level files.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SEGMENT = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: White space outside the ASCII blanks that the segment pattern cuts at.
 _OTHER_BLANK = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -63,13 +66,33 @@ class SegmentTokenizer:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.encode = self._quick(path) or (lambda text: self.lib.encode(text, add_special_tokens=False).ids)
         self.memo = Recent(self._segment, SEGMENTS_KEPT)
 
+    @staticmethod
+    def _quick(path: str):
+        """The same merges by ``tiktoken``, about four times as fast on single words, where ids follow the order of merges."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        if spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or spec["normalizer"]:
+            return None
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(plain)]
+        letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+        made = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges]
+        if any(vocab[t] != 256 + k for k, t in enumerate(made)) or sorted(vocab[c] for c in letters) != list(range(256)):
+            return None
+        ranks = {bytes(letters[c] for c in t): vocab[t] for t in [*letters, *made]}
+        return tiktoken.Encoding("segments", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
     def _segment(self, raw: bytes) -> tuple[bytes | None]:
         text = raw.decode("utf-8")
         if _OTHER_BLANK.search(text) or any(s in text for s in self.special):
             return (None,)
-        return (np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes(),)
+        return (np.array(self.encode(text), "<u4").tobytes(),)
 
     def ids(self, raw: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of a text."""
