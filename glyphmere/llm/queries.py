@@ -23,6 +23,12 @@ def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.withColumn("shrunk_rate", F.round("shrunk_rate", 6))
 
 
+def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmere.llm import chosen_path
+
+    return chosen_path.join(documents(spark, sf_dir))
+
+
 def op7_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmere.llm import language_crf
 
@@ -47,6 +53,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op4_host_rules": op4_host_rules,
+    "op6_chosen_path": op6_chosen_path,
     "op7_language_crf": op7_language_crf,
     "op8_forced_bpe": op8_forced_bpe,
     "op10_best_fit_packing": op10_best_fit_packing,
