@@ -80,6 +80,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/glyphmere/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # Spark deletes shuffle files of finished work when the driver collects its garbage
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -44,6 +44,13 @@ def op8_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forced_bpe.digests(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
+def op9_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmere.llm import compact_windows
+
+    found = compact_windows.find_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_cut", "repeats", F.sha2(F.coalesce("rest", F.lit("")), 256).alias("rest_sha256"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmere.llm import packing
 
@@ -56,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chosen_path": op6_chosen_path,
     "op7_language_crf": op7_language_crf,
     "op8_forced_bpe": op8_forced_bpe,
+    "op9_compact_windows": op9_compact_windows,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
