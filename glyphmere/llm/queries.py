@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from glyphmere.llm._common import crc_mod, documents, tokenizer_file
 
 
+def op2_line_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmere.llm import line_suffixes
+
+    found = line_suffixes.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_cut", "runs", F.sha2(F.coalesce("rest", F.lit("")), 256).alias("rest_sha256"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmere.llm import fingerprints
 
@@ -23,6 +30,12 @@ def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.withColumn("shrunk_rate", F.round("shrunk_rate", 6))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmere.llm import license_scan
+
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmere.llm import chosen_path
 
@@ -58,8 +71,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_suffixes": op2_line_suffixes,
     "op3_fingerprints": op3_fingerprints,
     "op4_host_rules": op4_host_rules,
+    "op5_license_scan": op5_license_scan,
     "op6_chosen_path": op6_chosen_path,
     "op7_language_crf": op7_language_crf,
     "op8_forced_bpe": op8_forced_bpe,
