@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from glyphmere.llm._common import crc_mod, documents, tokenizer_file
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmere.llm import katz
+
+    told = katz.score(documents(spark, sf_dir), crc_mod("doc_id", 7) != 2)
+    return told.withColumn("held_out", ~F.col("learned")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_line_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmere.llm import line_suffixes
 
@@ -71,6 +78,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_katz": op1_katz,
     "op2_line_suffixes": op2_line_suffixes,
     "op3_fingerprints": op3_fingerprints,
     "op4_host_rules": op4_host_rules,
