@@ -80,17 +80,18 @@ def leaves(tokens: np.ndarray, runs: int, depth: int = DEPTH) -> np.ndarray:
 
 
 def sketched(df: DataFrame, runs: int, id_col: str, text_col: str) -> DataFrame:
-    """i, key (of the shingle set), n (shingles), paths (of sets that aren't empty) of every row."""
+    """i, h (hash of the text), key (of the shingle set), paths (of sets that aren't empty) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", 8 << 20):
             sets = shingle_sets([t or b"" for t in as_bytes(batch.column("t"))])
             tokens = np.stack([sampled_tokens(s) for s in sets]) if sets else np.zeros((0, TOKENS), np.uint32)
             paths = leaves(tokens, runs)
-            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([p.tobytes() if len(s) else None for p, s in zip(paths, sets)], pa.binary())], ["i", "key", "n", "paths"])
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("h"), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([p.tobytes() if len(s) else None for p, s in zip(paths, sets)], pa.binary())], ["i", "h", "key", "paths"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(df[id_col].alias("i"), df[text_col].alias("t")).mapInArrow(run, f"i {kind}, key long, n long, paths binary")
+    rows = df.select(df[id_col].alias("i"), F.xxhash64(df[text_col]).alias("h"), df[text_col].alias("t"))
+    return rows.mapInArrow(run, f"i {kind}, h long, key long, paths binary")
 
 
 def candidate_links(classes: DataFrame) -> DataFrame:
@@ -205,16 +206,12 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
     return dealt.select("comp", "salt", "lead", "key", "t").mapInArrow(run, "a long, b long, n long")
 
 
-def join(df: DataFrame, threshold: float = 0.8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, class_id (least id of the class), n_class (its rows), n_links.
-
-    n_links counts the links to different texts that the class was joined by;
-    pairs of texts that share a linked text are not expanded.
-    """
+def classified(df: DataFrame, threshold: float, recall: float, id_col: str, text_col: str) -> DataFrame:
+    """i, h, class_id, n_class, n_links, lead (struct i, h of the class's first row) of every row."""
     made = stored(sketched(df, runs_needed(threshold, recall), id_col, text_col), "sketches")
-    classes = made.groupBy("key").agg(F.min("i").alias("i"), F.count("*").alias("rows"), F.first("paths").alias("paths"))
+    classes = made.groupBy("key").agg(F.first("paths").alias("paths"))
     comps = stored(components(candidate_links(classes)), "components")
-    one = made.groupBy("key").agg(F.min("i").alias("i"), F.count("*").alias("rows"))
+    one = made.groupBy("key").agg(F.min("i").alias("i"), F.count("*").alias("rows"), F.min(F.struct("i", "h")).alias("lead"))
     size = comps.groupBy("root").agg(F.count("*").alias("m"))
     members = one.join(comps, one["key"] == comps["node"]).select("key", "i", "root").join(size, "root")
     texts = df.select(df[id_col].alias("i0"), df[text_col].alias("t"))
@@ -235,7 +232,28 @@ def join(df: DataFrame, threshold: float = 0.8, recall: float = 0.999, id_col: s
         links = links.groupBy("a").agg(F.min("b").alias("b"))
     counts = done.groupBy("a").agg(F.sum("n").alias("n_links"))
     found = one.join(links.withColumnRenamed("a", "key"), "key", "left").join(counts.withColumnRenamed("a", "key"), "key", "left")
-    found = found.select("key", "i", "rows", F.coalesce("b", "key").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    whole = found.groupBy("root").agg(F.min("i").alias("class_id"), F.sum("rows").alias("n_class"))
-    named = found.join(whole, "root").select(F.col("key").alias("k"), "class_id", "n_class", "n_links")
-    return made.select("i", "key").join(named, F.col("key") == F.col("k")).select(F.col("i").alias(id_col), "class_id", "n_class", "n_links")
+    found = found.select("key", "i", "rows", "lead", F.coalesce("b", "key").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    whole = found.groupBy("root").agg(F.min("i").alias("class_id"), F.sum("rows").alias("n_class"), F.min("lead").alias("first"))
+    named = found.join(whole, "root").select(F.col("key").alias("k"), "class_id", "n_class", "n_links", F.col("first").alias("lead"))
+    return made.select("i", "h", "key").join(named, F.col("key") == F.col("k")).drop("key", "k")
+
+
+def join(df: DataFrame, threshold: float = 0.8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, class_id (least id of the class), n_class (its rows), n_links.
+
+    n_links counts the links to different texts that the class was joined by;
+    pairs of texts that share a linked text are not expanded.
+    """
+    told = classified(df, threshold, recall, id_col, text_col)
+    return told.select(F.col("i").alias(id_col), "class_id", "n_class", "n_links")
+
+
+def deduplicated(df: DataFrame, threshold: float = 0.8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that come first (by id, then text hash) in their class; of repeated rows one."""
+    told = stored(classified(df, threshold, recall, id_col, text_col), "classes")
+    kept = told.where(F.struct("i", "h") == F.col("lead")).select("i", F.col("h").alias("h__"))
+    twice = kept.groupBy("i", "h__").count().where("count > 1").limit(1).count()
+    rows = df.join(kept.distinct(), df[id_col].eqNullSafe(F.col("i")) & (F.xxhash64(df[text_col]) == F.col("h__")), "left_semi")
+    if not twice:
+        return rows
+    return rows.withColumn("h__", F.xxhash64(text_col)).dropDuplicates([id_col, "h__"]).drop("h__")
