@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from glyphmere.llm._common import Recent, as_bytes, slices, stored
 
 #: Entries of each worker's memo of segments.
-SEGMENTS_KEPT = 400_000
+SEGMENTS_KEPT = 150_000
 #: Steps of the search. The plan is complete after any number of them.
 SEARCH_STEPS = 2_500
 
