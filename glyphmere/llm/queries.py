@@ -90,4 +90,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_host_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+l AS (SELECT r, sum(n - 1) AS n_dup FROM (SELECT r, line, count(*) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line) GROUP BY r),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w))),
+c AS (SELECT r, count(DISTINCT p) AS n_rep FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY r),
+f AS (SELECT d.r, doc_id, host, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) for x in ws]), 0) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_rep, 0) AS BIGINT) AS n_repeat_words
+  FROM d JOIN w ON d.r = w.r LEFT JOIN l ON d.r = l.r LEFT JOIN c ON d.r = c.r),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+h AS (SELECT host, count(*) AS n, sum(CAST(base_failed AS INT)) AS k FROM b GROUP BY host),
+m AS (SELECT sum(k) / sum(n) AS mean, sum(CAST(k * k AS DOUBLE) / n) / sum(n) - (sum(k) / sum(n)) * (sum(k) / sum(n)) AS spread FROM h),
+q AS (SELECT mean, CASE WHEN spread > 1e-12 THEN greatest(1, least(1000, mean * (1 - mean) / spread - 1)) ELSE 1000 END AS weight FROM m),
+v AS (SELECT host, (k + mean * weight) / (n + weight) AS rate FROM h, q)
+SELECT doc_id, b.host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 6) AS shrunk_rate, rate > 0.5 AS host_failed, NOT base_failed AND rate <= 0.5 AS kept
+FROM b JOIN v ON b.host IS NOT DISTINCT FROM v.host""",
+}
