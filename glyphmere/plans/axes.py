@@ -37,7 +37,7 @@ AXES: dict[str, Axis] = {
         Axis("skeleton_levenshtein", "bigint", "more different", ("sk",), lambda: S.levenshtein(_c("ska"), _c("skb"))),
         Axis("skeleton_damerau", "bigint", "more different", ("sk", "skd"), lambda: _c("skd")),
         Axis("uts39_confusable_count", "bigint", "more similar", ("al",), lambda: _c("al")["uts39_confusable_count"]),
-        Axis("uts39_skeleton_delta", "bigint", "more similar", ("al", "sk", "skd"), lambda: F.greatest(_c("al")["damerau"] - _c("skd"), F.lit(0).cast("long"))),
+        Axis("uts39_skeleton_delta", "bigint", "more similar", ("al", "sk", "skd"), lambda: F.when(_c("al")["damerau"] > _c("skd"), _c("al")["damerau"] - _c("skd")).when(_c("skd").isNotNull(), 0).cast("long")),
         Axis("confusable_only", "boolean", "more similar", ("sk",), lambda: (_c("a") != _c("b")) & (_c("ska") == _c("skb"))),
         Axis("script_restriction", "bigint", "more different", (), lambda: F.when(_c("a").isNotNull() & _c("b").isNotNull(), F.greatest(S.restriction_level(_c("a")), S.restriction_level(_c("b"))))),
         Axis("keyboard_distance", "double", "more different", ("al",), lambda: _c("al")["keyboard_distance"]),
