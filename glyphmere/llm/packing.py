@@ -145,7 +145,7 @@ def lower_bound(counts: Counts, capacity: int) -> int:
     """Fewest sequences that could do: by total length, and for each threshold by the pieces too long to share (Martello and Toth)."""
     sizes = sorted(counts, reverse=True)
     best = -(-sum(s * n for s, n in counts.items()) // capacity)
-    for least in {s for s in sizes if 2 * s <= capacity} | {0, capacity // 2 + 1}:
+    for least in {s for s in sizes if 2 * s <= capacity} | {0}:
         alone = sum(n for s, n in counts.items() if s > capacity - least)
         halves = {s: n for s, n in counts.items() if capacity - least >= s and 2 * s > capacity}
         room = sum((capacity - s) * n for s, n in halves.items())
