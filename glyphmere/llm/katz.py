@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ from glyphmere.llm._common import as_bytes, forget, parts_of, placed, slices, st
 from glyphmere.llm._shingles import mixed
 
 LARGEST = 5
-CHUNK_TOKENS = 4_500_000
+CHUNK_TOKENS = 2_200_000
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(m)) for m in (b" start", b" end"))
 ANSWER = "chunk long, bucket int, payload binary"
 
@@ -57,6 +58,27 @@ def discounts(of_count: np.ndarray) -> np.ndarray:
     return d
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers, mostly small, as compressed planes of their bytes."""
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes(), 1) if len(x) else b""
+
+
+def unpacked(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(size, -1) if raw else np.zeros((size, 0), np.uint8)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def boxed(parts: list[bytes]) -> bytes:
+    return np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(parts)
+
+
+def unboxed(raw: bytes) -> list[bytes]:
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4).astype(np.int64)) + 4 + 4 * n
+    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends[:-1].tolist()], ends.tolist())]
+
+
 class Words:
     """Discounted probabilities of words by their count; what they lack is the unknown word's."""
 
@@ -91,7 +113,7 @@ class Contexts:
 
 
 def chunked(df: DataFrame, learn: Column, id_col: str, text_col: str) -> DataFrame:
-    """chunk, ids, learn, lengths (tokens, with the end) of documents; vocab (hashes, sorted), stream (numbers into it)."""
+    """chunk, ids, learn, lengths (tokens, with the end) of documents; vocab (hashes, frequent ones first), stream (numbers into it, packed)."""
     id_kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,9 +124,13 @@ def chunked(df: DataFrame, learn: Column, id_col: str, text_col: str) -> DataFra
         def out() -> pa.RecordBatch:
             h = np.fromiter(map(xxhash.xxh3_64_intdigest, number), np.uint64, len(number))
             h = np.append(h, END)
-            vocab, new = np.unique(h, return_inverse=True)
-            stream = new.astype("<u4")[np.concatenate(streams)]
-            row = [pa.array([(part << 24) + made]), pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(ids[0].type)), pa.array([flags]), pa.array([lengths], pa.list_(pa.int64())), pa.array([vocab.tobytes()], pa.binary()), pa.array([stream.tobytes()], pa.binary())]
+            stream = np.concatenate(streams)
+            stream[stream < 0] = len(number)
+            order = np.argsort(-np.bincount(stream, minlength=len(h)), kind="stable")  # frequent words get small numbers
+            new = np.empty(len(h), "<u4")
+            new[order] = np.arange(len(h))
+            vocab, stream = h[order], new[stream]
+            row = [pa.array([(part << 24) + made]), pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(ids[0].type)), pa.array([flags]), pa.array([lengths], pa.list_(pa.int64())), pa.array([vocab.tobytes()], pa.binary()), pa.array([packed(stream)], pa.binary())]
             return pa.RecordBatch.from_arrays(row, ["chunk", "ids", "learn", "lengths", "vocab", "stream"])
 
         held = 0
@@ -134,10 +160,10 @@ class Chunk:
 
     def __init__(self, row: dict) -> None:
         self.key = row["chunk"]
-        self.vocab, self.stream = np.frombuffer(row["vocab"], "<u8"), np.frombuffer(row["stream"], "<u4")
+        self.vocab, self.stream = np.frombuffer(row["vocab"], "<u8"), unpacked(row["stream"], "<u4")
         self.lengths = np.array(row["lengths"], np.int64)
         self.learn = np.repeat(np.array(row["learn"], bool), self.lengths)
-        self.count = np.frombuffer(row["count"], "<u4") if row.get("count") is not None else None
+        self.count = unpacked(row["count"], "<u4") if row.get("count") is not None else None
 
     def pairs(self, inverse: bool) -> tuple[np.ndarray, ...]:
         """Numbers of context (the vocabulary's size: start) and word of each distinct pair; how often learned, or each token's pair."""
@@ -180,8 +206,8 @@ def _sent(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * len(names), kinds)], names)
 
 
-_ASK = ([pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4], ["spot", "chunk", "bucket", "a", "b", "c", "d"])
-_ASKED = "spot long, chunk long, bucket int, a binary, b binary, c binary, d binary"
+_ASK = ([pa.int64(), pa.int64(), pa.int32(), pa.binary()], ["spot", "chunk", "bucket", "payload"])
+_ASKED = "spot long, chunk long, bucket int, payload binary"
 _TELL = ([pa.int64(), pa.int32(), pa.binary()], ["chunk", "bucket", "payload"])
 
 
@@ -195,10 +221,13 @@ def count_words(chunks: DataFrame) -> DataFrame:
             c = Chunk(row)
             count = np.bincount(c.stream[c.learn], minlength=len(c.vocab)).astype("<u4")
             bucket = (mixed(c.vocab) >> np.uint64(33)).astype(np.int64) % n
-            yield _sent([(spots[p], c.key, p, c.vocab[o].tobytes(), count[o].tobytes(), None, None) for p, o in enumerate(_dealt(n, bucket)) if len(o)], *_ASK)
+            yield _sent([(spots[p], c.key, p, boxed([c.vocab[o].tobytes(), packed(count[o])])) for p, o in enumerate(_dealt(n, bucket)) if len(o)], *_ASK)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(r["chunk"], r["bucket"], np.frombuffer(r["a"], "<u8"), np.frombuffer(r["b"], "<u4")) for r in _rows(batches)]
+        held = []
+        for r in _rows(batches):
+            a, b = unboxed(r["payload"])
+            held.append((r["chunk"], r["bucket"], np.frombuffer(a, "<u8"), unpacked(b, "<u4")))
         if not held:
             return
         words, at = np.unique(np.concatenate([h for _, _, h, _ in held]), return_inverse=True)
@@ -209,7 +238,7 @@ def count_words(chunks: DataFrame) -> DataFrame:
         facts = np.concatenate([[total.sum(), (total > 0).sum()], of, words[often].view(np.int64), total[often]]).astype("<i8")
         yield _sent([(-1, held[0][1], facts.tobytes())], *_TELL)
         for chunk, bucket, h, _ in held:
-            yield _sent([(chunk, bucket, total[np.searchsorted(words, h)].astype("<u4").tobytes())], *_TELL)
+            yield _sent([(chunk, bucket, packed(total[np.searchsorted(words, h)].astype("<u4")))], *_TELL)
 
     return chunks.select("chunk", "learn", "lengths", "vocab", "stream").mapInArrow(ask, _ASKED).repartition(n, "spot").mapInArrow(tell, ANSWER)
 
@@ -230,36 +259,31 @@ def count_pairs(chunks: DataFrame, words: Words, hot: np.ndarray) -> DataFrame:
             for p, o in enumerate(_dealt(n, bucket)):
                 if len(o):
                     first = np.flatnonzero(np.diff(a[o], prepend=-1))
-                    runs = np.stack([ctx[a[o[first]]], np.diff(np.append(first, len(o))).astype(np.uint64)])
+                    runs = np.diff(np.append(first, len(o))).astype("<u4")
                     short = np.ascontiguousarray(c.vocab[b[o]].astype("<u8")[:, None].view(np.uint8)[:, :6])
-                    few = np.minimum(learned[o], 255).astype(np.uint8)
-                    many = np.stack([np.flatnonzero(few == 255), learned[o][few == 255]]).astype("<u4")
-                    yield _sent([(spots[p], c.key, p, runs.astype("<u8").tobytes(), short.tobytes(), few.tobytes() + many.tobytes(), c.count[b[o]].tobytes())], *_ASK)
+                    yield _sent([(spots[p], c.key, p, boxed([ctx[a[o[first]]].tobytes(), packed(runs), short.tobytes(), packed(learned[o].astype("<u4")), packed(c.count[b[o]])]))], *_ASK)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for r in _rows(batches):
-            runs = np.frombuffer(r["a"], "<u8").reshape(2, -1)
-            held.append((r["chunk"], r["bucket"], runs, r["b"], r["c"], r["d"]))
+            name, runs, short, times, c2 = unboxed(r["payload"])
+            held.append((r["chunk"], r["bucket"], np.frombuffer(name, "<u8"), unpacked(runs, "<u4"), short, times, c2))
         if not held:
             return
-        names = np.unique(np.concatenate([h[2][0] for h in held]))
-        size = [len(h[3]) // 6 for h in held]
+        names = np.unique(np.concatenate([h[2] for h in held]))
+        size = [len(h[4]) // 6 for h in held]
         cell = np.empty(sum(size), np.uint64)
         ctx = np.empty(sum(size), np.uint32)
         learned, lower = np.empty(sum(size), np.uint32), np.empty(sum(size), np.uint32)
         at = 0
-        for (_, _, runs, short, few, c2), m in zip(held, size):
+        for (_, _, name, runs, short, times, c2), m in zip(held, size):
             wide = np.zeros((m, 8), np.uint8)
             wide[:, :6] = np.frombuffer(short, np.uint8).reshape(m, 6)
             cell[at : at + m] = wide.view("<u8")[:, 0]
-            ctx[at : at + m] = np.repeat(np.searchsorted(names, runs[0]), runs[1].astype(np.int64))
-            learned[at : at + m] = np.frombuffer(few, np.uint8, m)
-            many = np.frombuffer(few, np.uint8)[m:].view("<u4").reshape(2, -1) if len(few) > m else np.zeros((2, 0), np.uint32)
-            learned[at + many[0]] = many[1]
-            lower[at : at + m] = np.frombuffer(c2, "<u4")
+            ctx[at : at + m] = np.repeat(np.searchsorted(names, name), runs.astype(np.int64))
+            learned[at : at + m], lower[at : at + m] = unpacked(times, "<u4"), unpacked(c2, "<u4")
             at += m
-        heads = [(h[0], h[1], h[2][0]) for h in held]
+        heads = [h[:3] for h in held]
         del held
         order = np.lexsort((cell, ctx))
         new = np.empty(len(order), bool)
@@ -284,7 +308,7 @@ def count_pairs(chunks: DataFrame, words: Words, hot: np.ndarray) -> DataFrame:
         for (chunk, bucket, asked), m in zip(heads, size):
             which = np.searchsorted(names, asked)
             facts = stats[which[~np.isin(asked, hot)]]
-            yield _sent([(chunk, bucket, answer[at : at + m].tobytes() + b"".join(np.ascontiguousarray(facts[f]).tobytes() for f in _STAT.names))], *_TELL)
+            yield _sent([(chunk, bucket, boxed([packed(answer[at : at + m]), *(packed(np.ascontiguousarray(facts[f])) for f in _STAT.names)]))], *_TELL)
             at += m
 
     return chunks.select("chunk", "learn", "lengths", "vocab", "stream", "count").mapInArrow(ask, _ASKED).repartition(n, "spot").mapInArrow(tell, ANSWER)
@@ -343,8 +367,8 @@ def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
                 count, by = np.zeros(len(vocab), "<u4"), {a["bucket"]: a["payload"] for a in one.column("answers")[0].as_py()}
                 for p, o in enumerate(_dealt(n, (mixed(vocab) >> np.uint64(33)).astype(np.int64) % n)):
                     if len(o):
-                        count[o] = np.frombuffer(by[p], "<u4")
-                yield pa.RecordBatch.from_arrays([*(one.column(c) for c in keep), pa.array([count.tobytes()], pa.binary())], [*keep, "count"])
+                        count[o] = unpacked(by[p], "<u4")
+                yield pa.RecordBatch.from_arrays([*(one.column(c) for c in keep), pa.array([packed(count)], pa.binary())], [*keep, "count"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in first.schema.fields) + ", count binary"
     chunks = stored(first.join(_gathered(told), "chunk").mapInArrow(counted, schema), "chunks")
@@ -368,13 +392,12 @@ def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
                 c12, stats = np.zeros(len(a), np.int64), np.zeros((len(ctx), LARGEST + 2))
                 for p, o in enumerate(_dealt(n, bucket)):
                     if len(o):
-                        raw, here = by.pop(p), a[o[np.flatnonzero(np.diff(a[o], prepend=-1))]]
-                        c12[o] = np.frombuffer(raw, "<u4", len(o))
+                        told, *facts = unboxed(by.pop(p))
+                        c12[o] = unpacked(told, "<u4")
+                        here = a[o[np.flatnonzero(np.diff(a[o], prepend=-1))]]
                         here = here[~np.isin(ctx[here], hot)]
-                        place = 4 * len(o)
-                        for j, f in enumerate(_STAT.names):
-                            stats[here, j] = np.frombuffer(raw, _STAT[f], len(here), place)
-                            place += len(here) * _STAT[f].itemsize
+                        for j, (f, raw) in enumerate(zip(_STAT.names, facts)):
+                            stats[here, j] = unpacked(raw, _STAT[f].str)
                 for w in np.flatnonzero(np.isin(ctx, hot)):
                     stats[w] = hot_facts.get(int(ctx[w]), 0)
                 total, alpha = contexts.weights(stats[:, 0], stats[:, 1], stats[:, 2:])
