@@ -65,12 +65,15 @@ def metric_value(key: str) -> Column:
     return F.coalesce(F.col(key).cast("double"), F.lit(float("inf")))
 
 
-def panel(df: DataFrame, a: Column, b: Column, fields: list[str], sources: Sources = Sources()) -> DataFrame:
-    """``df`` with the wanted axes appended. Only what they need is computed; pairs go to Python once for each string family."""
+def panel(df: DataFrame, a: Column, b: Column, fields: list[str], sources: Sources = Sources(), skeleton_a: Column | None = None) -> DataFrame:
+    """``df`` with the wanted axes appended. Only what they need is computed; pairs go to Python once for each string family.
+
+    ``skeleton_a`` is that of ``a`` where it is known.
+    """
     needs = {n for k in fields for n in AXES[k].needs}
     out = df.withColumns({"__a": a, "__b": b})
     if "sk" in needs:
-        out = out.withColumns({"__ska": S.skeleton(F.col("__a"), sources), "__skb": S.skeleton(F.col("__b"), sources)})
+        out = out.withColumns({"__ska": S.skeleton(F.col("__a"), sources) if skeleton_a is None else skeleton_a, "__skb": S.skeleton(F.col("__b"), sources)})
     if "al" in needs:
         only = {k for k in fields if "al" in AXES[k].needs} <= {"damerau", "uts39_skeleton_delta"}
         made = F.struct(S.damerau(F.col("__a"), F.col("__b")).alias("damerau")) if only else S.aligned(F.col("__a"), F.col("__b"), sources)

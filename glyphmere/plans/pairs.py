@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from glyphmere.functions import strings as S
 from glyphmere.functions import verdict as V
 from glyphmere.functions.normalize import Op, normalized
-from glyphmere.functions.tables import Sources
+from glyphmere.functions.tables import Sources, confusables
 from glyphmere.plans.axes import metric_value, panel, parse_fields, validate_metric
 
 TYPOSQUAT_FIELDS = ["equal", "damerau", "skeleton_damerau", "confusable_only", "keyboard_distance"]
@@ -75,21 +75,22 @@ def _prepared(df: DataFrame, a: str, b: str, cfg: Config) -> DataFrame:
     return out.withColumns({"__x": pick(a, "__na"), "__y": pick(b, "__nb")})
 
 
-def may_emit(x: Column, y: Column, cfg: Config) -> Column:
+def may_emit(x: Column, y: Column, cfg: Config, skeleton_x: Column | None = None) -> Column:
     """A cheap test, in the JVM for ASCII names, that holds for every pair that can be kept.
 
     A swap is two plain edits, so a restricted Damerau distance of k needs a
     Levenshtein distance of at most 2k; lengths bound both.
     """
+    known = S.skeleton(x, cfg.sources) if skeleton_x is None else skeleton_x
     if cfg.typosquat:
-        skeletons = S.skeleton(x, cfg.sources) == S.skeleton(y, cfg.sources)
+        skeletons = known == S.skeleton(y, cfg.sources)
         near = (F.abs(F.length(x) - F.length(y)) <= 1) & (F.levenshtein(x, y, 2) >= 0)
         return near | skeletons | S.is_combosquat(x, y)
     if cfg.threshold is None or cfg.by not in EDIT_METRICS:
         return F.lit(True)
     if cfg.threshold < 0:
         return F.lit(False)
-    u, v = (S.skeleton(x, cfg.sources), S.skeleton(y, cfg.sources)) if cfg.by.startswith("skeleton") else (x, y)
+    u, v = (known, S.skeleton(y, cfg.sources)) if cfg.by.startswith("skeleton") else (x, y)
     gate = F.abs(F.length(u) - F.length(v)) <= cfg.threshold
     if cfg.threshold <= 4:
         k = int(cfg.threshold) * (2 if cfg.by.endswith("damerau") else 1)
@@ -97,12 +98,22 @@ def may_emit(x: Column, y: Column, cfg: Config) -> Column:
     return gate
 
 
-def score(df: DataFrame, a: str = "a", b: str = "b", cfg: Config = Config(), gate: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Scored and filtered pairs: a, b, normalised forms if rules are given, axes, class and reason if typosquat; then ``keep``."""
+def score(df: DataFrame, a: str = "a", b: str = "b", cfg: Config = Config(), gate: bool = False, keep: tuple[str, ...] = (), query: str | None = None) -> DataFrame:
+    """Scored and filtered pairs: a, b, normalised forms if rules are given, axes, class and reason if typosquat; then ``keep``.
+
+    ``query`` tells that ``a`` is this string in every row, whose skeletons are then made once.
+    """
     out = _prepared(df, a, b, cfg)
+    skeleton = None
+    if query is not None:
+        table = confusables(cfg.sources)
+        skeleton = F.lit(table.skeleton(query))
+        if cfg.norm_ops:
+            norm = df.sparkSession.range(1).select(normalized(F.lit(query), cfg.norm_ops)).first()[0]
+            skeleton = F.when(F.col("__identical") | F.col("__same"), skeleton).otherwise(F.lit(table.skeleton(norm)))
     if gate:
-        out = out.where(may_emit(F.col("__x"), F.col("__y"), cfg))
-    out = panel(out, F.col("__x"), F.col("__y"), cfg.computed, cfg.sources)
+        out = out.where(may_emit(F.col("__x"), F.col("__y"), cfg, skeleton))
+    out = panel(out, F.col("__x"), F.col("__y"), cfg.computed, cfg.sources, skeleton)
     if cfg.typosquat:
         label, reason = V.classified(F.col("__identical"), F.col("__same"), F.col("__x"), F.col("__y"), F.col("damerau"), F.col("confusable_only"), F.col("keyboard_distance"))
         out = out.withColumns({"classification": label, "reason": reason}).where(F.col("classification").isin(*V.ALERTS))
@@ -118,7 +129,7 @@ def watchlist(names: DataFrame, query: str, cfg: Config = Config(), name_col: st
     listed = names.select(S.trimmed(F.col(name_col)).alias("match"), *([ord_col] if ord_col in names.columns else [])).where("match <> ''")
     if ord_col not in names.columns:
         listed = listed.withColumn(ord_col, F.monotonically_increasing_id())
-    out = score(listed.withColumn("input", F.lit(query)), "input", "match", cfg, gate, (ord_col,))
+    out = score(listed.withColumn("input", F.lit(query)), "input", "match", cfg, gate, (ord_col,), query)
     if cfg.sort or cfg.top is not None:
         out = out.orderBy("__metric", ord_col)
         out = out.limit(cfg.top) if cfg.top is not None else out
