@@ -14,7 +14,7 @@ from glyphmere.functions.tables import Sources, confusables
 from glyphmere.plans.axes import metric_value, panel, parse_fields, validate_metric
 
 TYPOSQUAT_FIELDS = ["equal", "damerau", "skeleton_damerau", "confusable_only", "keyboard_distance"]
-#: Names that may be sent to every task as a table; beyond it joins are shuffled.
+#: Metrics that lengths and the bounded Levenshtein distance bound from below.
 EDIT_METRICS = ("levenshtein", "damerau", "skeleton_levenshtein", "skeleton_damerau")
 
 
