@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -77,11 +79,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to a table in the shared folder and read back, which cuts its lineage and survives lost executors."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark)}/glyphmere/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # Spark deletes shuffle files of finished work when the driver collects its garbage
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    for _ in range(2):  # Spark deletes the shuffle files of finished work when the driver collects its garbage
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+    return spark.read.schema(schema).parquet(path)
 
 
 def forget(*frames: DataFrame) -> None:

@@ -134,7 +134,7 @@ def chunked(df: DataFrame, learn: Column, id_col: str, text_col: str) -> DataFra
             return pa.RecordBatch.from_arrays(row, ["chunk", "ids", "learn", "lengths", "vocab", "stream"])
 
         held = 0
-        for batch in slices(batches, "t", 8 << 20):
+        for batch in slices(batches, "t", 2 << 20):
             for t in as_bytes(batch.column("t")):
                 words = t.lower().split() if t else []
                 streams.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
@@ -283,7 +283,7 @@ def count_pairs(chunks: DataFrame, words: Words, hot: np.ndarray) -> DataFrame:
             ctx[at : at + m] = np.repeat(np.searchsorted(names, name), runs.astype(np.int64))
             learned[at : at + m], lower[at : at + m] = unpacked(times, "<u4"), unpacked(c2, "<u4")
             at += m
-        heads = [h[:3] for h in held]
+        heads = [h[:4] for h in held]
         del held
         order = np.lexsort((cell, ctx))
         new = np.empty(len(order), bool)
@@ -305,15 +305,22 @@ def count_pairs(chunks: DataFrame, words: Words, hot: np.ndarray) -> DataFrame:
         mine = np.flatnonzero(np.isin(names, hot))
         yield _sent([(-1, heads[0][1], of.astype("<i8").tobytes() + names[mine].tobytes() + stats[mine].tobytes())], *_TELL)
         at = 0
-        for (chunk, bucket, asked), m in zip(heads, size):
-            which = np.searchsorted(names, asked)
-            facts = stats[which[~np.isin(asked, hot)]]
-            yield _sent([(chunk, bucket, boxed([packed(answer[at : at + m]), *(packed(np.ascontiguousarray(facts[f])) for f in _STAT.names)]))], *_TELL)
+        for (chunk, bucket, asked, runs), m in zip(heads, size):
+            mine = answer[at : at + m]
+            cold = ~np.isin(asked, hot)
+            facts, unseen = stats[np.searchsorted(names, asked[cold])], backing_off(mine, np.cumsum(runs, dtype=np.int64) - runs)[cold]
+            columns = [np.ascontiguousarray(facts[f][unseen] if f == "lower" else facts[f]) for f in _STAT.names]
+            yield _sent([(chunk, bucket, boxed([packed(mine), *map(packed, columns)]))], *_TELL)
             at += m
 
     return chunks.select("chunk", "learn", "lengths", "vocab", "stream", "count").mapInArrow(ask, _ASKED).repartition(n, "spot").mapInArrow(tell, ANSWER)
 
 
+def backing_off(counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which contexts, whose pairs begin at ``first``, have a pair never learned: only these need alpha."""
+    return np.add.reduceat(counts == 0, first, dtype=np.int64) > 0
+
+
 def _gathered(answers: DataFrame) -> DataFrame:
     return answers.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "payload")).alias("answers"))
 
@@ -394,10 +401,11 @@ def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
                     if len(o):
                         told, *facts = unboxed(by.pop(p))
                         c12[o] = unpacked(told, "<u4")
-                        here = a[o[np.flatnonzero(np.diff(a[o], prepend=-1))]]
-                        here = here[~np.isin(ctx[here], hot)]
+                        first = np.flatnonzero(np.diff(a[o], prepend=-1))
+                        here = a[o[first]]
+                        cold, unseen = ~np.isin(ctx[here], hot), backing_off(c12[o], first)
                         for j, (f, raw) in enumerate(zip(_STAT.names, facts)):
-                            stats[here, j] = unpacked(raw, _STAT[f].str)
+                            stats[here[cold & unseen] if f == "lower" else here[cold], j] = unpacked(raw, _STAT[f].str)
                 for w in np.flatnonzero(np.isin(ctx, hot)):
                     stats[w] = hot_facts.get(int(ctx[w]), 0)
                 total, alpha = contexts.weights(stats[:, 0], stats[:, 1], stats[:, 2:])
