@@ -114,15 +114,20 @@ def restriction_level(s: Column) -> Column:
     return F.when(ascii_only, F.when(s.rlike(PLAIN), F.lit(0)).otherwise(5)).otherwise(_level_udf()(F.when(~ascii_only, s))).cast("long")
 
 
+def _delimited_part(p: Column, q: Column) -> Column:
+    """Whether ``q`` begins with ``p`` and a separator, ends with one and ``p``, or has ``p`` between two."""
+    marks = list(SEPARATORS)
+    head = F.startswith(q, p) & F.substring(q, F.length(p) + 1, F.lit(1)).isin(marks)
+    tail = F.endswith(q, p) & F.substring(q, -F.length(p) - 1, F.lit(1)).isin(marks)
+    one = F.lit("-")
+    inside = F.contains(F.translate(q, SEPARATORS, "----"), F.concat(one, p, one)) & (F.translate(p, SEPARATORS, "") == p)
+    return (F.length(p) >= 3) & (F.length(p) < F.length(q)) & (head | tail | inside)
+
+
 def is_combosquat(a: Column, b: Column) -> Column:
-    """Whether the shorter name (of 3 characters or more) is a delimited prefix, suffix or part of the longer."""
+    """Whether the shorter name (of 3 characters or more) is a delimited prefix, suffix or part of the longer, whatever the case."""
     x, y = F.lower(a), F.lower(b)
-    first = F.length(x) <= F.length(y)
-    short, long = F.when(first, x).otherwise(y), F.when(first, y).otherwise(x)
-    found = F.array_contains(F.split(long, f"[{SEPARATORS.replace('-', chr(92) + '-')}]", -1), short)
-    for sep in SEPARATORS:
-        found = found | F.startswith(long, F.concat(short, F.lit(sep))) | F.endswith(long, F.concat(F.lit(sep), short))
-    return (x != y) & (F.length(short) >= 3) & found
+    return _delimited_part(x, y) | _delimited_part(y, x)
 
 
 def register(spark, sources: Sources = Sources()) -> None:
