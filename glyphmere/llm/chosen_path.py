@@ -10,11 +10,10 @@ pair at the threshold is below 1 - recall.
 
 Equal sets are one class from the start. Sets in one leaf become candidates (a
 star of links, not all pairs); the connected candidates are brought together and
-compared exactly, by an index of their shingles: the first with all, then each
-that isn't linked to it with all. So every pair of candidates is decided unless
-both are linked to one text already; no link between different texts is lost, and
-none is assumed. Groups larger than ``BLOCK`` are compared in blocks that share
-the first text, and what stays unlinked there is compared with every block.
+all pairs of them are compared exactly, by an index of their shingles, so no link
+between different texts is lost, and none is assumed. Groups larger than
+``BLOCK`` are dealt into parts of half that size, and each two parts are a block;
+each pair is counted in one block only.
 
 Texts under five words have one shingle, of all their words. Null text and text
 without words have the empty set, are equal to each other and like nothing else.
@@ -135,75 +134,96 @@ def candidate_links(classes: DataFrame) -> DataFrame:
     return classes.select("key", "paths").mapInArrow(split, "spot long, p binary, k binary").repartition(n, "spot").mapInArrow(link, "a long, b long").distinct()
 
 
-def linked(sets: list[np.ndarray], threshold: float, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Roots and numbers of links among sets: those at ``first``, then all not linked to them, are compared with all."""
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """(m, m): how many shingles each two sets share. Frequent shingles count by products of 0/1 matrices, the others by their lists of sets."""
     m = len(sets)
-    size = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(m), size)
+    counts = np.zeros((m, m), np.float32)
     every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
     order = np.argsort(every, kind="stable")
     every, owner = every[order], owner[order]
-    root, links, done = np.arange(m), np.zeros(m, np.int64), np.zeros(m, bool)
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    def compare(p: int) -> None:
-        lo, hi = np.searchsorted(every, sets[p], "left"), np.searchsorted(every, sets[p], "right")
-        n = hi - lo
-        at = np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())
-        common = np.bincount(owner[at], minlength=m)
-        like = common >= threshold * (size + size[p] - common) - 1e-9
-        like[p] = False
-        like[done] = False  # compared already
-        done[p] = True
-        for x in np.flatnonzero(like & (size > 0)):
-            links[p] += 1
-            links[x] += 1
-            a, b = find(p), find(int(x))
-            root[max(a, b)] = min(a, b)
-
-    for p in first:
-        compare(int(p))
+    head = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+    n = np.diff(np.append(head, len(every)))
+    often = (n > 1) & (n > m / 16)
+    column = np.cumsum(often) - 1
+    shingle = np.repeat(np.arange(len(n)), n)
+    at = np.flatnonzero(often[shingle])
+    to, of = column[shingle[at]], owner[at]
+    for a in range(0, int(often.sum()), 2048):
+        i, j = np.searchsorted(to, [a, a + 2048])
+        x = np.zeros((m, min(2048, int(often.sum()) - a)), np.float32)
+        x[of[i:j], to[i:j] - a] = 1
+        counts += x @ x.T
+    at = np.flatnonzero((~often & (n > 1))[shingle])
+    width = n[shingle[at]]
+    ends = np.cumsum(width)
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 22), side="right")))
+        w = width[a:b]
+        other = owner[np.repeat(head[shingle[at[a:b]]] - (np.cumsum(w) - w), w) + np.arange(w.sum())]
+        counts += np.bincount(np.repeat(owner[at[a:b]], w) * m + other, minlength=m * m).reshape(m, m)
+        a = b
+    return counts
+
+
+def linked(sets: list[np.ndarray], threshold: float, part: np.ndarray, inner: tuple[bool, bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Roots and numbers of links among sets: all pairs of different parts (0, 1), and those within a part where ``inner`` says so."""
+    m = len(sets)
+    size = np.array([len(s) for s in sets], np.float64)
+    common = common_counts(sets)
+    like = np.zeros((m, m), bool)
+    within = np.array(inner)[part]
+    for a in range(0, m, 256):
+        c = common[a : a + 256].astype(np.float64)
+        like[a : a + 256] = (c > 0) & (c >= threshold * (size[a : a + 256, None] + size - c) - 1e-9)
+        like[a : a + 256] &= within[a : a + 256, None] | (part[a : a + 256, None] != part)
+    np.fill_diagonal(like, False)
+    root, left = np.arange(m), np.ones(m, bool)
     for p in range(m):
-        if not done[p] and (not len(first) or find(p) != find(int(first[0]))):
-            compare(p)
-    return np.array([find(x) for x in range(m)], np.int64), links
+        todo = [p] if left[p] else []
+        left[p] = False
+        while todo:
+            x = todo.pop()
+            root[x] = p
+            new = np.flatnonzero(like[x] & left)
+            left[new] = False
+            todo += new.tolist()
+    return root, like.sum(axis=1)
 
 
 def _verified(rows: DataFrame, threshold: float) -> DataFrame:
-    """a, b, n: each text's key, the least key of its cluster in its block, and its links. rows: comp, salt, lead, key, t."""
+    """a, b, n: each text's key, the least key of its cluster in its block, and its links counted there. rows: comp, parts, lo, hi (the block's two parts), part, key, t."""
     n = parts_of(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
 
         def out() -> pa.RecordBatch:
+            _, parts, lo, hi = at
             keys = np.array([k for k, _, _ in held], np.int64)
             sets = shingle_sets([t for _, _, t in held])
             good = list({int(k): i for i, (k, s) in enumerate(zip(keys, sets)) if set_key(s) == k}.values())  # ids may repeat
-            keys, lead = keys[good], np.array([held[i][1] for i in good], bool)
+            keys, part = keys[good], np.array([held[i][1] != lo for i in good], np.int64)
             order = np.argsort(keys, kind="stable")
-            keys, lead = keys[order], lead[order]
-            first = np.flatnonzero(lead) if lead.any() else np.arange(min(1, len(keys)))
-            root, links = linked([sets[good[i]] for i in order], threshold, first)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(keys[root]), pa.array(links)], ["a", "b", "n"])
+            keys, part = keys[order], part[order]
+            # each part meets itself in its block with the next part, the last one in its block with the first
+            inner = (hi - lo <= 1, lo == 0 and hi == parts - 1)
+            root, links = linked([sets[good[i]] for i in order], threshold, part, inner)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(keys[root]), pa.array(links, pa.int64())], ["a", "b", "n"])
 
         for batch in batches:
-            for comp, salt, lead, key, t in zip(*(batch.column(c).to_pylist() for c in ("comp", "salt", "lead", "key")), as_bytes(batch.column("t"))):
-                if (comp, salt) != at and held:
+            for *block, part, key, t in zip(*(batch.column(c).to_pylist() for c in ("comp", "parts", "lo", "hi", "part", "key")), as_bytes(batch.column("t"))):
+                if block != at and held:
                     yield out()
                     held = []
-                at = (comp, salt)
-                held.append((key, lead, t or b""))
+                at = block
+                held.append((key, part, t or b""))
         if held:
             yield out()
 
-    dealt = rows.repartition(n, "comp", "salt").sortWithinPartitions("comp", "salt")
-    return dealt.select("comp", "salt", "lead", "key", "t").mapInArrow(run, "a long, b long, n long")
+    dealt = rows.repartition(n, "comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
+    return dealt.select("comp", "parts", "lo", "hi", "part", "key", "t").mapInArrow(run, "a long, b long, n long")
 
 
 def classified(df: DataFrame, threshold: float, recall: float, id_col: str, text_col: str) -> DataFrame:
@@ -215,21 +235,14 @@ def classified(df: DataFrame, threshold: float, recall: float, id_col: str, text
     size = comps.groupBy("root").agg(F.count("*").alias("m"))
     members = one.join(comps, one["key"] == comps["node"]).select("key", "i", "root").join(size, "root")
     texts = df.select(df[id_col].alias("i0"), df[text_col].alias("t"))
-    rows = stored(members.join(texts, F.col("i").eqNullSafe(F.col("i0"))).select(F.col("root").alias("comp"), "key", "t", F.ceil(F.col("m") / BLOCK).cast("long").alias("salts"), (F.col("key") == F.col("root")).alias("lead")), "members")
-    salts = F.when(F.col("lead"), F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), F.col("salts"))))
-    done = stored(_verified(rows.withColumn("salt", F.explode(salts)), threshold), "verified")
+    parts = F.when(F.col("m") > BLOCK, F.ceil(F.col("m") / max(1, BLOCK // 2))).otherwise(1).cast("long")
+    rows = members.join(texts, F.col("i").eqNullSafe(F.col("i0"))).select(F.col("root").alias("comp"), parts.alias("parts"), "key", "t").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
+    whole = F.col("parts") == 1
+    with_others = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: whole | (x != F.col("part"))), lambda x: F.struct(F.least(x, "part").alias("lo"), F.greatest(x, "part").alias("hi")))
+    done = stored(_verified(rows.withColumn("block", F.explode(with_others)).select("comp", "parts", "block.lo", "block.hi", "part", "key", "t"), threshold), "verified")
     links = done.select("a", "b")
-    if rows.where("salts > 1").limit(1).count():  # what its block left apart from the first text, against every block
-        apart = done.groupBy("a").agg(F.min("b").alias("b"))
-        left = rows.where("salts > 1").join(apart, F.col("key") == F.col("a")).where("b <> comp").select("comp", "key", "t", "salts")
-        spread = left.withColumn("lead", F.lit(True)).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-        others = rows.where("salts > 1").join(left.select("key"), "key", "left_anti").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")))
-        again = others.select("comp", "salt", "lead", "key", "t").join(left.select("comp").distinct(), "comp", "left_semi").withColumn("lead", F.lit(False))
-        more = stored(_verified(spread.select("comp", "salt", "lead", "key", "t").unionByName(again.select("comp", "salt", "lead", "key", "t")), threshold), "verified")
-        links = components(links.union(more.select("a", "b"))).select(F.col("node").alias("a"), F.col("root").alias("b"))
-        done = done.union(more)
-    else:
-        links = links.groupBy("a").agg(F.min("b").alias("b"))
+    if size.where(F.col("m") > BLOCK).limit(1).count():
+        links = components(links).select(F.col("node").alias("a"), F.col("root").alias("b"))
     counts = done.groupBy("a").agg(F.sum("n").alias("n_links"))
     found = one.join(links.withColumnRenamed("a", "key"), "key", "left").join(counts.withColumnRenamed("a", "key"), "key", "left")
     found = found.select("key", "i", "rows", "lead", F.coalesce("b", "key").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
@@ -241,8 +254,8 @@ def classified(df: DataFrame, threshold: float, recall: float, id_col: str, text
 def join(df: DataFrame, threshold: float = 0.8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, class_id (least id of the class), n_class (its rows), n_links.
 
-    n_links counts the links to different texts that the class was joined by;
-    pairs of texts that share a linked text are not expanded.
+    n_links counts all texts with another shingle set that are similar to the
+    document's; copies with the same set count once.
     """
     told = classified(df, threshold, recall, id_col, text_col)
     return told.select(F.col("i").alias(id_col), "class_id", "n_class", "n_links")

@@ -106,6 +106,28 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     assert got == plain_classes(list(range(len(texts))), texts)
 
 
+def test_links_are_those_of_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = []
+    for v in "wxyz":
+        for _ in range((2, 9, 23, 31)["wxyz".index(v)]):
+            w = [f"{v}{i}" for i in range(60)]
+            for k in rng.integers(0, 60, rng.integers(0, 3)):
+                w[k] = f"e{rng.integers(0, 5)}"
+            texts.append(" ".join(w))
+    texts += texts[-3:]
+    sets = [frozenset(s.tolist()) for s in shingle_sets([t.encode() for t in texts])]
+    want = {i: sum(len(a & b) >= 0.8 * len(a | b) for b in set(sets) if b != a) for i, a in enumerate(sets)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (2000, 7):
+        monkeypatch.setattr(chosen_path, "BLOCK", block)
+        got = chosen_path.join(df).collect()
+        assert {r.doc_id: r.n_links for r in got} == want and {r.doc_id: r.class_id for r in got} == plain_classes(list(want), texts)
+    many = [np.unique(rng.integers(0, 900, 60).astype(np.uint64)) for _ in range(150)]  # rare and frequent shingles
+    counts = chosen_path.common_counts(many)
+    assert all(counts[i, j] == len(np.intersect1d(many[i], many[j])) for i in range(150) for j in range(i))
+
+
 def test_join_edges(spark):
     rows = [(None, "a b c d e f g", 1), (None, None, 2), (5, "x y z", 3), (5, "", 4), (7, "short", 5), (8, "short", 5), (8, "short", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, key int")
