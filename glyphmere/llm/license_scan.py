@@ -11,7 +11,8 @@ order and their share, the coverage. Words are compared in lower case without
 punctuation around them.
 
 A match is reported from ``min_coverage`` on; of matches of one template that
-overlap the best stays. Null text and texts without words match nothing.
+overlap the best stays, and the text between matches is aligned again as long as
+hits are left there. Null text and texts without words match nothing.
 Repeated rows are scanned one by one; an empty table gives no rows.
 """
 
@@ -118,31 +119,47 @@ def aligned(a: np.ndarray, b: np.ndarray, diagonal: int, band: int = BAND) -> tu
     return best[1], best[2], best[3]
 
 
-def scan_text(index: Index, words: np.ndarray, found: list[tuple[int, int, int]], min_coverage: float) -> list[tuple[int, float, int, int, int]]:
-    """template, coverage, first, end (words of the text), matched. found: template, its place, the text's place of each hit."""
-    clusters: dict[int, list[list[int]]] = {}
-    for t, p, at in sorted(found, key=lambda x: (x[0], x[2] - x[1])):
-        d = at - p
-        groups = clusters.setdefault(t, [])
+def bands(diagonals: list[int]) -> list[int]:
+    """Middles of bands that hold all of the sorted diagonals; those within ``BAND`` of each other are one cluster, with a band each ``BAND`` words if it is wide."""
+    groups: list[list[int]] = []
+    for d in diagonals:
         if groups and d - groups[-1][1] <= BAND:
             groups[-1][1] = d
         else:
             groups.append([d, d])
+    return [d for lo, hi in groups for d in (range(lo, hi + BAND, BAND) if hi - lo > 2 * BAND else [(lo + hi) // 2])]
+
+
+def scan_text(index: Index, words: np.ndarray, found: list[tuple[int, int, int]], min_coverage: float) -> list[tuple[int, float, int, int, int]]:
+    """template, coverage, first, end (words of the text), matched. found: template, its place, the text's place of each hit."""
+    by: dict[int, list[tuple[int, int]]] = {}
+    for t, p, at in found:
+        by.setdefault(t, []).append((p, at))
     out = []
-    for t, groups in clusters.items():
-        tried = []
-        for lo, hi in groups:
-            for d in range(lo, hi + 1, 2 * BAND) if hi - lo > 2 * BAND else [(lo + hi) // 2]:
-                begin = max(0, d - 2 * BAND)
-                piece = words[begin : d + len(index.words[t]) + 2 * BAND]
-                matched, first, end = aligned(index.words[t].tolist(), piece.tolist(), d - begin)
-                if matched >= min_coverage * len(index.words[t]):
+    for t, hits in sorted(by.items()):
+        template = index.words[t].tolist()
+        matches: list[tuple[int, int, int]] = []
+        todo = [(0, len(words), hits)]
+        while todo:  # parts of the text between matches, with the hits in them
+            left, right, hits = todo.pop()
+            tried = []
+            for d in bands(sorted({at - p for p, at in hits})):
+                begin = max(left, d - 2 * BAND)
+                piece = words[begin : max(begin, min(right, d + len(template) + 2 * BAND))]
+                matched, first, end = aligned(template, piece.tolist(), d - begin)
+                if matched >= min_coverage * len(template):
                     tried.append((matched, begin + first, begin + end))
-        kept: list[tuple[int, int, int]] = []
-        for matched, first, end in sorted(tried, key=lambda x: (-x[0], x[1])):
-            if all(end <= a or first >= b for _, a, b in kept):
-                kept.append((matched, first, end))
-        out += [(t, matched / len(index.words[t]), first, end, matched) for matched, first, end in sorted(kept, key=lambda x: x[1])]
+            kept: list[tuple[int, int, int]] = []
+            for matched, first, end in sorted(tried, key=lambda x: (-x[0], x[1])):
+                if all(end <= a or first >= b for _, a, b in kept):
+                    kept.append((matched, first, end))
+            matches += kept
+            edges = [left, *(x for _, a, b in sorted(kept, key=lambda x: x[1]) for x in (a, b)), right]
+            for a, b in zip(edges[::2], edges[1::2]) if kept else ():
+                inside = [(p, at) for p, at in hits if a <= at and at + GRAM <= b]
+                if inside:
+                    todo.append((a, b, inside))
+        out += [(t, matched / len(template), first, end, matched) for matched, first, end in sorted(matches, key=lambda x: x[1])]
     return out
 
 

@@ -102,6 +102,17 @@ def test_license_scan(spark):
     assert license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, template int").limit(0)).count() == 0
 
 
+def test_adjacent_notices_are_all_found(spark):
+    names = ("MIT-notice", "Apache-2.0-notice", "CC-BY-NC-4.0-notice")
+    rows, want = [], set()
+    for k, (name, n) in enumerate([(x, n) for x in names for n in (1, 2, 3, 4, 7, 1000)]):
+        size = len(license_scan.TEMPLATES[name].split())
+        rows.append((k, "\n".join(["some words before"] + [license_scan.TEMPLATES[name]] * n)))
+        want |= {(k, name, 3 + size * i, 3 + size * (i + 1)) for i in range(n)}
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.template, r.first_word, r.end_word) for r in got) == sorted(want)
+
+
 def test_every_notice_is_found(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = {(r.doc_id, r.template) for r in queries.op5_license_scan(spark, sf).collect()}
