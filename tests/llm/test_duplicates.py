@@ -180,6 +180,53 @@ def test_repeats_are_found_and_nothing_else(spark):
     assert got[2].rest.split() == docs[2][:10] + docs[2][70:120] and got[6].rest == " ".join(docs[6])
 
 
+def plain_parts(a, b, chain, least, threshold):
+    good = {}
+    for i, (x, y, _) in enumerate(chain):
+        for j, (u, v, n) in list(enumerate(chain))[i:]:
+            s = compact_windows.jaccard(a[x : u + n], b[y : v + n])
+            if u + n - x >= least and s >= threshold:
+                good[x, u + n] = s
+    return [(x, e, s) for (x, e), s in sorted(good.items()) if not any((p, q) != (x, e) and p <= x and e <= q for p, q in good)]
+
+
+def test_parts_of_a_chain_below_the_threshold(spark):
+    vocab = [f"w{i}" for i in range(5000)]
+    rng = np.random.default_rng(6)
+    word = lambda n: [vocab[i] for i in rng.integers(0, 5000, n)]
+    near, phrase = word(80), word(5)
+    changed = near[:40] + ["other"] + near[41:]
+    docs = [near + word(10) + phrase + word(20), changed + word(10) + phrase + word(30)]
+    got = {r.doc_id: r for r in compact_windows.find_repeats(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")).collect()}
+    assert [(s.first, s.end) for s in got[1].repeats] == [(0, 80)] and got[0].repeats == []
+    some = 0
+    for _ in range(200):
+        a = rng.integers(0, 1 << 32, 300).astype(np.uint32)
+        b, at, chain = a.copy(), 0, []
+        while at < 270:
+            n = int(rng.integers(5, 40))
+            chain.append((at, at, min(n, 300 - at)))
+            at += n + (gap := int(rng.integers(1, 13)))
+            b[at - gap : at] += 1
+        if rng.random() < 0.3:  # words that repeat in both
+            a[5:25] = b[5:25] = a[60:80]
+        got = compact_windows.passages(a, b, 0, chain, 50, 0.8)
+        assert [g[:2] for g in got] == [w[:2] for w in plain_parts(a, b, chain, 50, 0.8)]
+        assert all(abs(g[2] - compact_windows.jaccard(a[g[0] : g[1]], b[g[0] : g[1]])) < 1e-9 for g in got)
+        some += len(got) > 1
+    assert some
+
+
+def test_many_interleaved_diagonals():
+    a = np.arange(1000, 1200, dtype=np.uint32)
+    b = np.concatenate([a[:30], a[31:60], np.zeros(140, np.uint32)])
+    pieces = [(0, b, [(0, 0, 30), (1, 31, 60)])]
+    for k in range(6):  # short runs on other diagonals begin between the two halves
+        b[100 + 12 * k : 106 + 12 * k] = a[24 + k : 30 + k]
+        pieces[0][2].append((24 + k - (100 + 12 * k), 24 + k, 30 + k))
+    assert [r[:2] for r in compact_windows.repeats(a, pieces, 50, 0.8, False)] == [(0, 60)]
+
+
 def test_exact_passages_never_stay_twice(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     got = compact_windows.find_repeats(df).toPandas().sort_values("doc_id")
