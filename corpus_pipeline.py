@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 from glyphmere.llm import chosen_path, compact_windows, language_crf, line_suffixes, packing
 from glyphmere.llm._common import documents, stored, tokenizer_file
 
-#: Least mean posterior of the language that a document is taken to be in.
+#: Least mean, over the words, of the greatest posterior of any language.
 SURE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose words have no letters, or no language with a mean posterior of ``SURE``, go."""
-    told = language_crf.predict(docs, language_crf.train(docs))
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(docs.columns)
+    """Documents whose words have no letters, or are of no certain language (a mean below ``SURE``), go; mixed ones stay. Without labels all stay."""
+    model = language_crf.train(docs)
+    if model is None:
+        return docs
+    told = language_crf.predict(docs, model, word_score=True)
+    return told.where((F.col("lang_pred") != "und") & (F.col("word_score") >= SURE)).select(docs.columns)
 
 
 def _with_rest(docs: DataFrame, told: DataFrame) -> DataFrame:

@@ -177,9 +177,10 @@ def label_words(model: Model, words: list[str]) -> list[tuple[str, float]]:
     return [(model.languages[k], float(row[k])) for row, k in zip(p, p.argmax(axis=1))]
 
 
-def predict_batch(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+def predict_batch(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Each text's language, the language's mean posterior, and the mean of the words' greatest posteriors."""
     if model is None:
-        return ["und"] * len(texts), np.zeros(len(texts))
+        return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     number: dict[bytes, int] = {}
     found, lengths = [], np.zeros(len(texts), np.int64)
     for k, t in enumerate(texts):
@@ -192,26 +193,30 @@ def predict_batch(model: Model | None, texts: list[str | None]) -> tuple[list[st
     lettered = np.fromiter((any(map(str.isalpha, w.decode("utf-8"))) for w in names), bool, len(names))
     post = posteriors(model, emissions(model.weights, names)[ids], starts, lengths)
     post[~lettered[ids]] = 0
-    total = np.zeros((len(texts), len(model.languages)))
+    total, sure = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts))
     some = lengths > 0
     if some.any():
         total[some] = np.add.reduceat(post.astype(np.float64), starts[some], axis=0)
+        sure[some] = np.add.reduceat(post.max(axis=1).astype(np.float64), starts[some])
     mass = total.sum(axis=1)
     best = total.argmax(axis=1)
     langs = [model.languages[b] if m > 0 else "und" for b, m in zip(best, mass)]
-    return langs, np.where(mass > 0, total.max(axis=1) / np.maximum(mass, 1e-12), 0.0)
+    return langs, np.where(mass > 0, total.max(axis=1) / np.maximum(mass, 1e-12), 0.0), np.where(mass > 0, sure / np.maximum(mass, 1e-12), 0.0)
 
 
-def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with lang_pred and score appended, whatever other columns it has (two of these names are replaced)."""
+def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", word_score: bool = False) -> DataFrame:
+    """``df`` with lang_pred and score appended, whatever other columns it has (two of these names are replaced); with ``word_score`` also the mean of the words' greatest posteriors."""
     shipped = df.sparkSession.sparkContext.broadcast(model)  # SLOTS x languages numbers
-    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
+    added = ["lang_pred", "score", "word_score"][: 3 if word_score else 2]
+    kept = [c for c in df.columns if c not in added]
     text_at = kept.index(text_col)
     schema = df.select([df[c] for c in kept]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col, 8 << 20):
-            langs, score = predict_batch(shipped.value, batch.column(text_at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], [*kept, "lang_pred", "score"])
+            langs, *scores = predict_batch(shipped.value, batch.column(text_at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), *(pa.array(np.clip(s, 0, 1), pa.float64()) for s in scores[: len(added) - 1])], [*kept, *added])
 
-    return df.select([df[c] for c in kept]).mapInArrow(run, schema.add("lang_pred", "string").add("score", "double"))
+    for name in added:
+        schema = schema.add(name, "string" if name == "lang_pred" else "double")
+    return df.select([df[c] for c in kept]).mapInArrow(run, schema)

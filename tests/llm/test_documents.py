@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 from oracle_check import compare
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from glyphmere.llm import fingerprints as fp
@@ -121,6 +122,19 @@ def test_every_notice_is_found(spark, sf):
             assert text not in r.text or (r.doc_id, name) in got
 
 
+def test_language_stage_keeps_mixed_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    by = {}
+    for r in docs.where("lang is not null and n_chars > 1000").orderBy("doc_id").collect():
+        by.setdefault(r.lang, []).append(" ".join(r.text.split()[:60]))
+    two, three = (" ".join(by[x][0] for x in sorted(by)[:n]) for n in (2, 3))
+    new = spark.createDataFrame([(-1, two, None, "s", len(two)), (-2, three, None, "s", len(three)), (-3, "12 34 " * 30, None, "s", 180)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.union(new), sf).where("doc_id < 0").collect()}
+    assert kept == {-1, -2}
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language(spark, bare, sf).count() == docs.count()
+
+
 def test_pipeline_stages(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "lines", "near_copies", "passages", "packing"]
     docs = source = spark.read.parquet(f"{sf}/documents.parquet")
