@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import re
-import time
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -45,6 +44,10 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 16
             yield batch.slice(start)
 
 
+#: Rows of one key that any task may take, whatever their share.
+OFTEN = 10_000
+
+
 class Recent(dict):
     """A bounded memo: ``make(key)`` fills it, and of older entries those used again since stay."""
 
@@ -64,14 +67,14 @@ class Recent(dict):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one set here where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, one made here if driver and executors are one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = got.get() if got.isDefined() else None
     if not folder:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="glyphmere-")
         spark.sparkContext.setCheckpointDir(folder)
     return re.sub(r"/+$", "", folder)
@@ -83,10 +86,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_folder(spark)}/glyphmere/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     del df
-    for _ in range(2):  # Spark deletes the shuffle files of finished work when the driver collects its garbage
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+    spark.sparkContext._jvm.System.gc()  # Spark drops the shuffle files of plans that are gone when the driver collects its garbage
     return spark.read.schema(schema).parquet(path)
 
 
@@ -100,6 +100,22 @@ def forget(*frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str = "n") -> DataFrame:
+    """Inner join of stored ``rows`` with ``groups``, which has one row a key; ``size`` is the number of rows of the key.
+
+    Keys of more than 1 in ``4 * partitions`` of all rows, of which there are at
+    most so many, are joined by broadcast. So no task gets all rows of a hot key.
+    """
+    most = 4 * parts_of(rows.sparkSession)
+    state = groups.agg(F.sum(size).alias("total"), F.max(size).alias("largest")).first()
+    often = max((state["total"] or 0) // most, OFTEN)
+    if (state["largest"] or 0) <= often:
+        return rows.join(groups, keys)
+    hot = F.broadcast(groups.where(F.col(size) > often))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col(size) <= often), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 

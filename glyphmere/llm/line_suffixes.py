@@ -1,18 +1,26 @@
 """Line deduplication with a suffix array over line ids.
 
-Every line is an id (a 64-bit hash of it). Suffixes of the documents' line
-sequences are ranked by prefix doubling: the rank by the first 2h lines is the
-order of the pairs (rank by h lines here, rank by h lines h lines on), numbered
-after a range-partitioned sort of the distinct pairs. Suffixes that a depth
-tells from all others drop out, so rounds shrink. Suffixes of one rank at depth
-h are an interval of the suffix array whose longest common prefix is h lines or
-more; with h = ``min_lines`` these intervals are the repeated runs, and
-neighbouring starts join to maximal ones. All but the first copy of a run (by
-id, then line) are deleted, if it has ``min_chars`` characters or more.
-
-Null text has no lines and stays null. Rows with the same id and text are one
-document, and all get its result; null ids come first. Lines are those between
-line feeds; empty ones count as lines. An empty table gives no rows.
+Suffixes of the documents' line sequences are ranked by prefix doubling: the rank
+by the first 2h lines is the order of the pairs (rank by h lines here, rank by h
+lines h lines on), numbered after a range-partitioned sort of the distinct pairs.
+Suffixes whose first lines stand nowhere else drop out, so rounds shrink until
+none is left. Suffixes of one rank are an interval of the suffix array whose
+longest common prefix has h lines or more; its first place (by id, then line) is
+its lead. From the deepest rank down, each suffix's interval is then narrowed, by
+the binary digits of its length, to the deepest one that still holds an earlier
+place: that is the longest run from there on that has stood before, and the
+interval's lead is its first copy. Runs that lie in no longer one are maximal.
+Every maximal run of ``min_lines`` lines and ``min_chars`` characters or more is
+deleted; the first copy of each run stays.
+
+Documents of one text are ranked once; of these the first (least id) counts, and
+the text of the others is one run of it. Rows with the same id and text are one
+document, and all get its result. Null text has no lines and stays null; null ids
+come first. Lines are those between line feeds; empty ones count as lines. An
+empty table gives no rows. Columns named runs, n_lines, n_cut and rest are
+replaced. Lines and texts are told apart by 128-bit hashes. Groups that hold a
+large share of all rows (a very common line) are joined by broadcast, of which
+there are at most ``4 * partitions``; so no join is by a hot key.
 """
 
 from __future__ import annotations
@@ -20,68 +28,127 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmere.llm._common import as_bytes, forget, parts_of, slices, stored
+from glyphmere.llm._common import as_bytes, forget, parts_of, slices, spread_join, stored
+
+
+
+def _at() -> Column:
+    """A place, as places are ordered."""
+    return F.struct("doc", "pos")
+
+
+def text_hash(text: Column) -> Column:
+    """128 bits of a text."""
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("text"), text).alias("b"))
 
 
 def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc (struct of id and text hash), pos, rank: the line's own id, for each line of each distinct document."""
-    doc = F.struct(df[id_col].alias("id"), F.xxhash64(df[text_col]).alias("h"))
-    split = df.select(doc.alias("doc"), F.posexplode(F.split(df[text_col], "\n")).alias("pos", "line"))
-    return split.select("doc", "pos", F.xxhash64("line").alias("rank")).distinct()
+    """doc (struct of least id and text hash), pos, a, b (the line's hash), for each line of each distinct text."""
+    split = df.select(F.struct(df[id_col].alias("id")).alias("i"), text_hash(df[text_col]).alias("h"), F.posexplode(F.split(df[text_col], "\n")).alias("pos", "line"))
+    hashed = split.select("i", "h", "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit("line"), "line").alias("b"))
+    first = hashed.groupBy("h", "pos", "a", "b").agg(F.min("i").alias("i"))
+    return first.select(F.struct(F.col("i.id").alias("id"), "h").alias("doc"), "pos", "a", "b")
 
 
 def _ranked(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of pairs (doc, pos, *keys) that share their keys, with the keys' rank and the group's first place.
+    """Rows of the stored pairs (doc, pos, *keys) that share their keys, with the keys' rank and the group's lead.
 
     Groups, not rows, are sorted, so a very common pair is one row of the sort.
     """
-    groups = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("lead")).where("n > 1").drop("n")
-    if len(keys) > 1:
-        groups = groups.repartitionByRange(parts_of(pairs.sparkSession), *keys).sortWithinPartitions(*keys)
-        groups = groups.withColumn("named", F.monotonically_increasing_id())
-    else:
-        groups = groups.withColumn("named", F.col(keys[0]))
-    return pairs.join(groups, keys).select("doc", "pos", F.col("named").alias("rank"), "lead")
+    n = parts_of(pairs.sparkSession)
+    groups = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("lead")).where("n > 1")
+    groups = groups.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id())
+    groups = stored(groups, "groups")
+    ranks = stored(spread_join(pairs, groups, keys).select("doc", "pos", "rank", "lead"), "suffixes")
+    forget(pairs, groups)
+    return ranks
 
 
-def _ahead(ranks: DataFrame, step: int) -> DataFrame:
-    """Pairs (rank here, rank ``step`` lines on); a suffix without the latter repeats nothing that long."""
-    on = ranks.select("doc", (F.col("pos") - step).alias("pos"), F.col("rank").alias("then"))
-    return ranks.select("doc", "pos", "rank").join(on, ["doc", "pos"])
+def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
+    """For h = 1, 2, 4...: doc, pos, rank (by h lines), lead of the suffixes whose first h lines stand elsewhere too."""
+    levels = [_ranked(stored(lines, "pairs"), ["a", "b"])]
+    while levels[-1].limit(1).count():
+        ranks, h = levels[-1], 1 << (len(levels) - 1)
+        on = ranks.select("doc", (F.col("pos") - h).alias("pos"), F.col("rank").alias("then"))
+        pairs = ranks.select("doc", "pos", F.col("rank").alias("now")).join(on, ["doc", "pos"])
+        levels.append(_ranked(stored(pairs, "pairs"), ["now", "then"]))
+    return levels
 
 
-def repeated_runs(lines: DataFrame, depth: int) -> DataFrame:
-    """doc, pos, rank, lead: places whose next ``depth`` lines stand elsewhere too, their rank in the suffix array by these lines, and the first such place."""
-    ranks, h = stored(_ranked(lines, ["rank"]), "suffixes"), 1
-    while h < depth:
-        step = min(h, depth - h)
-        deeper = stored(_ranked(_ahead(ranks, step), ["rank", "then"]), "suffixes")
-        forget(ranks)
-        ranks, h = deeper, h + step
-    return ranks
+def _narrowed(held: DataFrame, ranks: DataFrame, h: int) -> DataFrame:
+    """Suffixes ``held`` (doc, pos, len, lead, asks) in intervals, after a try to lengthen them by ``h`` lines.
+
+    An interval is known by its lead and length. Suffixes that ask move on to the
+    longer interval if it holds an earlier place; an interval is kept, with all its
+    suffixes, as long as one of them asks.
+    """
+    on = ranks.select(F.col("doc").alias("doc2"), F.col("pos").alias("pos2"), F.col("rank").alias("g"))
+    tried = held.join(on, (F.col("doc") == F.col("doc2")) & (F.col("pos") + F.col("len") == F.col("pos2")), "left")
+    tried = stored(tried.select("doc", "pos", "len", "lead", "asks", F.coalesce("g", F.lit(-1)).alias("g")), "tried")
+    asks = F.col("asks").cast("long")
+    longer = tried.groupBy("lead", "len", "g").agg(F.count("*").alias("n"), F.sum(asks).alias("asking"), F.min(F.struct("doc", "pos", asks.alias("asks"))).alias("first"))
+    left = F.when(F.col("g") < 0, F.col("asking")).otherwise(F.col("first.asks"))
+    longer = stored(longer.select("lead", "len", "g", "n", F.struct("first.doc", "first.pos").alias("deeper"), left.alias("left"), ((F.col("g") >= 0) & (F.col("asking") > F.col("first.asks"))).alias("moves")), "intervals")
+    stays = longer.groupBy("lead", "len").agg((F.sum("left") > 0).alias("stays"), F.count("*").alias("kinds"))
+    wanted = stored(spread_join(longer, stays, ["lead", "len"], "kinds").where("stays or moves").drop("left", "kinds"), "intervals")
+    rows = spread_join(tried, wanted, ["lead", "len", "g"])
+    moved = (F.col("g") >= 0) & (F.col("deeper") < _at())
+    here = F.when(F.col("stays"), F.struct("len", "lead", (F.col("asks") & ~moved).alias("asks")))
+    there = F.when(F.col("moves"), F.struct((F.col("len") + h).alias("len"), F.col("deeper").alias("lead"), (F.col("asks") & moved).alias("asks")))
+    out = stored(rows.select("doc", "pos", F.explode(F.array_compact(F.array(here, there))).alias("x")).select("doc", "pos", "x.len", "x.lead", "x.asks"), "held")
+    forget(held, tried, longer, wanted)
+    return out
+
+
+def earlier_runs(lines: DataFrame) -> DataFrame:
+    """doc, pos, len, lead: for each place that has any, the longest run of lines from there on that begins at an earlier place too, and the first such place."""
+    levels = suffix_ranks(lines)
+    held = None
+    for k in reversed(range(len(levels) - 1)):
+        ranks, known = levels[k], levels[k + 1].where(F.col("lead") < _at()).select("doc", "pos", F.lit(True).alias("known"))
+        if held is not None:
+            held = _narrowed(held, ranks, 1 << k)
+        new = ranks.join(known, ["doc", "pos"], "left").select("doc", "pos", F.lit(1 << k).alias("len"), "lead", (F.col("known").isNull() & (F.col("lead") < _at())).alias("asks"))
+        grown = stored((new if held is None else held.unionByName(new)).where("asks" if k == 0 else "true"), "held")
+        if held is not None:
+            forget(held)
+        held = grown
+    if held is None:
+        held = levels[0].select("doc", "pos", F.lit(1).alias("len"), "lead", F.lit(True).alias("asks"))
+    else:
+        forget(*levels)
+    return held.drop("asks")
+
+
+def maximal_runs(lines: DataFrame) -> DataFrame:
+    """Those of ``earlier_runs`` that lie in no longer one: doc, pos, end, lead."""
+    by_doc = Window.partitionBy("doc").orderBy("pos")
+    ends = earlier_runs(lines).select("doc", "pos", (F.col("pos") + F.col("len")).alias("end"), "lead")
+    before = ends.withColumn("before", F.lag(F.struct("pos", "end")).over(by_doc))
+    return before.where("before is null or before.pos < pos - 1 or before.end < end").drop("before")
 
 
 def suffix_array(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rounds: int = 40) -> DataFrame:
-    """doc, pos, order: the suffix array of all line sequences, ranked until every suffix stands alone.
+    """doc, pos, order: the suffix array of all distinct texts' line sequences, ranked until every suffix stands alone.
 
     A document's end comes before any line. Equal suffixes of different
-    documents follow each other by id.
+    documents have one order.
     """
-    ranks = stored(lines_of(df, id_col, text_col), "suffixes")
+    hashed = lines_of(df, id_col, text_col)
+    lines = hashed.groupBy("a", "b").agg(F.count("*").alias("n")).repartitionByRange(parts_of(df.sparkSession), "a", "b").sortWithinPartitions("a", "b").withColumn("rank", F.monotonically_increasing_id())
+    ranks = stored(spread_join(hashed, stored(lines, "groups"), ["a", "b"]).select("doc", "pos", "rank"), "suffixes")
     h = 1
     for _ in range(most_rounds):
         on = ranks.select("doc", (F.col("pos") - h).alias("pos"), F.col("rank").alias("then"))
-        pairs = ranks.join(on, ["doc", "pos"], "left")  # null: the document ends there
-        groups = pairs.groupBy(F.col("rank").alias("r"), F.col("then").alias("t")).agg(F.count("*").alias("n"))
-        groups = groups.repartitionByRange(parts_of(df.sparkSession), "r", "t").sortWithinPartitions("r", "t").withColumn("named", F.monotonically_increasing_id())
-        named = pairs.join(groups, (F.col("rank") == F.col("r")) & F.col("then").eqNullSafe(F.col("t")))
-        deeper = stored(named.select("doc", "pos", F.col("named").alias("rank"), ((F.col("n") > 1) & F.col("t").isNotNull()).alias("open")), "suffixes")
-        ranks, h = deeper.select("doc", "pos", "rank"), 2 * h
-        if not deeper.where("open").limit(1).count():
+        pairs = stored(ranks.join(on, ["doc", "pos"], "left").select("doc", "pos", "rank", F.coalesce("then", F.lit(-1)).alias("then")), "pairs")  # -1: the document ends there
+        groups = pairs.groupBy("rank", "then").agg(F.count("*").alias("n"))
+        groups = stored(groups.repartitionByRange(parts_of(df.sparkSession), "rank", "then").sortWithinPartitions("rank", "then").withColumn("named", F.monotonically_increasing_id()), "groups")
+        ranks, h = stored(spread_join(pairs, groups, ["rank", "then"]).select("doc", "pos", F.col("named").alias("rank")), "suffixes"), 2 * h
+        if not groups.where("n > 1 and then >= 0").limit(1).count():
             break
     return ranks.select("doc", "pos", F.col("rank").alias("order"))
 
@@ -94,17 +161,38 @@ def without_lines(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"\n".join(out + lines[last:])
 
 
-def dedup(df: DataFrame, min_lines: int = 2, min_chars: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def united(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted runs, those that overlap made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in runs:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def listed_runs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """i (struct of the id), h (of the text), runs: the maximal runs of each document, by their first line; of a later copy of a text, the whole."""
+    runs = maximal_runs(lines_of(df, id_col, text_col))
+    run = F.struct(F.col("pos").alias("first"), "end", F.col("lead.doc.id").alias("of"), F.col("lead.pos").alias("of_line"))
+    own = stored(runs.groupBy("doc").agg(F.sort_array(F.collect_list(run)).alias("runs")).select(F.struct("doc.id").alias("i"), F.col("doc.h").alias("h"), "runs"), "runs")
+    texts = df.where(df[text_col].isNotNull()).select(F.struct(df[id_col].alias("id")).alias("i"), text_hash(df[text_col]).alias("h"), F.size(F.split(df[text_col], "\n")).alias("n_lines"))
+    texts = stored(texts.distinct(), "texts")
+    groups = texts.groupBy("h", "n_lines").agg(F.count("*").alias("n"), F.min("i").alias("i")).where("n > 1")
+    first = F.col("runs")[0]
+    whole = F.when((first["first"] == 0) & (first["end"] == F.col("n_lines")), first).otherwise(F.struct(F.lit(0).alias("first"), F.col("n_lines").alias("end"), F.col("i.id").alias("of"), F.lit(0).alias("of_line")))
+    groups = groups.join(own, ["i", "h"], "left").select("h", "n", F.col("i").alias("lead"), F.array(whole).alias("runs"))
+    copies = spread_join(texts, stored(groups, "copies"), ["h"]).where(F.col("i") != F.col("lead"))
+    return own.unionByName(copies.select("i", "h", "runs"))
+
+
+def dedup(df: DataFrame, min_lines: int = 1, min_chars: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with runs (array of first, end: lines; of: id and of_line of the first copy), n_lines, n_cut and rest (the text without them)."""
-    found = repeated_runs(lines_of(df, id_col, text_col), min_lines).where("doc <> lead.doc or pos <> lead.pos")
-    by_doc = Window.partitionBy("doc").orderBy("pos")
-    island = found.select("doc", "pos", "lead").withColumn("island", F.col("pos") - F.row_number().over(by_doc))
-    runs = island.groupBy("doc", "island").agg(F.min("pos").alias("first"), (F.max("pos") + min_lines).alias("end"), F.min_by("lead", "pos").alias("lead"))
-    listed = runs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("first", "end", F.col("lead.doc.id").alias("of"), F.col("lead.pos").alias("of_line")))).alias("runs__"))
-    base = [c for c in df.columns if c not in ("runs", "n_lines", "n_cut", "rest", "runs__", "h__")]
-    listed = listed.select(F.col("doc.id").alias("id__"), F.col("doc.h").alias("h2__"), "runs__")
-    keyed = df.select(*[df[c] for c in base], F.xxhash64(df[text_col]).alias("h__"))
-    joined = keyed.join(listed, keyed[id_col].eqNullSafe(F.col("id__")) & (F.col("h__") == F.col("h2__")), "left").drop("id__", "h2__", "h__")
+    base = [c for c in df.columns if c not in ("runs", "n_lines", "n_cut", "rest")]
+    listed = listed_runs(df, id_col, text_col).select(F.col("i").alias("i2__"), F.col("h").alias("h2__"), F.col("runs").alias("runs__"))
+    keyed = df.select(*[df[c] for c in base], F.struct(df[id_col].alias("id")).alias("i__"), text_hash(df[text_col]).alias("h__"))
+    joined = keyed.join(listed, (F.col("i__") == F.col("i2__")) & (F.col("h__") == F.col("h2__")), "left").drop("i__", "i2__", "h__", "h2__")
     id_kind = df.schema[id_col].dataType.simpleString()
     run_kind = f"array<struct<first: int, end: int, of: {id_kind}, of_line: int>>"
     schema = df.select([df[c] for c in base]).schema
@@ -115,20 +203,17 @@ def dedup(df: DataFrame, min_lines: int = 2, min_chars: int = 100, id_col: str =
         for batch in slices(batches, text_col, 8 << 20):
             kept, total, gone, rest = [], [], [], []
             for t, runs in zip(as_bytes(batch.column(text_col)), batch.column("runs__").to_pylist()):
-                runs = runs or []
+                runs = [r for r in runs or [] if r["end"] - r["first"] >= min_lines]
                 if runs:
-                    size = [len(line) for line in t.split(b"\n")]
-                    merged: list[dict] = []
-                    for r in runs:  # runs an island apart may touch
-                        if merged and r["first"] < merged[-1]["end"]:
-                            merged[-1]["end"] = max(merged[-1]["end"], r["end"])
-                        else:
-                            merged.append(dict(r))
-                    runs = [r for r in merged if sum(size[r["first"] : r["end"]]) >= min_chars]
+                    ends = [0]
+                    for line in t.decode("utf-8").split("\n"):
+                        ends.append(ends[-1] + len(line))
+                    runs = [r for r in runs if ends[r["end"]] - ends[r["first"]] >= min_chars]
+                spans = united([(r["first"], r["end"]) for r in runs])
                 kept.append(runs)
                 total.append(t.count(b"\n") + 1 if t is not None else 0)
-                gone.append(sum(r["end"] - r["first"] for r in runs))
-                rest.append((without_lines(t, [(r["first"], r["end"]) for r in runs]) if runs else t).decode("utf-8") if t is not None else None)
+                gone.append(sum(b - a for a, b in spans))
+                rest.append((without_lines(t, spans) if runs else t).decode("utf-8") if t is not None else None)
             types = batch.schema.field("runs__").type
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in base), pa.array(kept, types), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(rest, pa.string())], [*base, "runs", "n_lines", "n_cut", "rest"])
 

@@ -1,44 +1,81 @@
 """Lines, near copies and passages against plain evaluations."""
 
 import collections
+import random
 
 import numpy as np
 import xxhash  # noqa: F401
 from pyspark.sql import functions as F
 
-from glyphmere.llm import chosen_path, compact_windows, components, line_suffixes
+from glyphmere.llm import _common, chosen_path, compact_windows, components, line_suffixes
 from glyphmere.llm._shingles import shingle_sets
 
 A, B, C = "A" * 60, "B" * 60, "C" * 60
 TEXTS = [(None, f"{A}\n{B}\nq", 1), (None, None, 2), (5, f"z\n{A}\n{B}", 3), (5, "", 4), (7, "q\n" * 300, 5), (7, "q\n" * 300, 5), (8, f"{B}\n{A}\n{C}", 6)]
 
 
-def plain_runs(docs, m, min_chars):
-    seen, out = {}, []
-    for ls in docs:
-        iv = []
-        for p in range(len(ls) - m + 1):
-            k = tuple(ls[p : p + m])
-            if k in seen:
-                if iv and p < iv[-1][1]:
-                    iv[-1][1] = p + m
-                else:
-                    iv.append([p, p + m])
-            else:
-                seen[k] = p
-        out.append([tuple(x) for x in iv if sum(len(s.encode()) for s in ls[x[0] : x[1]]) >= min_chars])
+def plain_runs(docs, min_lines, min_chars):
+    """From the definition: (first, end, of, of_line) of the maximal runs that begin at an earlier place too; docs: (id, lines) by id."""
+    places = [(i, p) for i, (_, ls) in enumerate(docs) for p in range(len(ls))]
+    by_line = collections.defaultdict(list)
+    longest = {}
+    for i, p in places:
+        best = (0, None)
+        for j, q in by_line[docs[i][1][p]]:
+            n = 0
+            while p + n < len(docs[i][1]) and q + n < len(docs[j][1]) and docs[i][1][p + n] == docs[j][1][q + n]:
+                n += 1
+            best = (n, (docs[j][0], q)) if n > best[0] else best
+        longest[i, p] = best
+        by_line[docs[i][1][p]].append((i, p))
+    out = {}
+    for i, (doc, ls) in enumerate(docs):
+        maximal = [(p, p + n, *of) for p in range(len(ls)) for n, of in [longest[i, p]] if n and (p == 0 or longest[i, p - 1][0] <= n)]
+        out[doc] = [r for r in maximal if r[1] - r[0] >= min_lines and sum(map(len, ls[r[0] : r[1]])) >= min_chars]
     return out
 
 
-def test_runs_are_those_of_a_plain_scan(spark, sf):
+def runs_of(got):
+    return {r.doc_id: [(x.first, x.end, x.of, x.of_line) for x in r.runs] for r in got}
+
+
+def test_runs_are_those_of_the_definition(spark, sf):
+    rng = random.Random(3)
+    docs = []
+    for i in range(60):
+        if docs and rng.random() < 0.2:
+            docs.append((i, list(rng.choice(docs)[1])))
+            continue
+        ls = [rng.choice("abcd") * rng.choice([1, 2, 30]) for _ in range(rng.randint(1, 14))]
+        if docs and rng.random() < 0.6:
+            src = rng.choice(docs)[1]
+            a = rng.randrange(len(src))
+            ls[rng.randrange(len(ls)) :] = src[a : a + rng.randint(1, 9)] + ls[:3]
+        docs.append((i, ls))
+    df = spark.createDataFrame([(i, "\n".join(ls)) for i, ls in docs], "doc_id long, text string")
+    for m, chars in ((1, 1), (2, 40)):
+        assert runs_of(line_suffixes.dedup(df, m, chars).collect()) == plain_runs(docs, m, chars)
     df = spark.read.parquet(f"{sf}/documents.parquet")
-    for m in (2, 3):
-        got = line_suffixes.dedup(df, min_lines=m).toPandas().sort_values("doc_id")
-        docs = [t.split("\n") for t in got.text]
-        assert [[(r["first"], r["end"]) for r in x] for x in got.runs] == plain_runs(docs, m, 100)
-        for t, rest, runs in zip(got.text, got.rest, got.runs):
-            gone = {k for r in runs for k in range(r["first"], r["end"])}
-            assert rest == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+    got = line_suffixes.dedup(df).collect()
+    assert runs_of(got) == plain_runs(sorted((r.doc_id, r.text.split("\n")) for r in got), 1, 100)
+    for r in got:
+        gone = {k for x in r.runs for k in range(x.first, x.end)}
+        assert r.rest == "\n".join(x for k, x in enumerate(r.text.split("\n")) if k not in gone) and r.n_cut == len(gone)
+
+
+def test_runs_of_two_sources_are_not_one(spark):
+    a, b, c = "A" * 40, "B" * 40, "C" * 40
+    df = spark.createDataFrame([(1, f"{a}\n{b}"), (2, f"{b}\n{c}"), (3, f"{a}\n{b}\n{c}")], "doc_id long, text string")
+    assert not any(r.runs for r in line_suffixes.dedup(df).collect())
+    assert runs_of(line_suffixes.dedup(df, min_chars=80).collect())[3] == [(0, 2, 1, 0), (1, 3, 2, 0)]
+
+
+def test_very_common_lines(spark, monkeypatch):
+    rows = [(i, f"common\nline {i % 50}\ncommon") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = runs_of(line_suffixes.dedup(df, min_chars=1).collect())
+    monkeypatch.setattr(_common, "OFTEN", 1)  # common lines are joined apart
+    assert runs_of(line_suffixes.dedup(df, min_chars=1).collect()) == want == plain_runs([(i, t.split("\n")) for i, t in rows], 1, 1)
 
 
 def test_line_edges(spark):
@@ -51,6 +88,9 @@ def test_line_edges(spark):
     assert by[None, 3] == {(0, f"{A}\n{B}\nq")} and by[None, 0] == {(0, None)} and by[5, 3] == {(2, "z")}
     assert by[7, 301] == {(299, "q\n")} and by[8, 3] == {(0, f"{B}\n{A}\n{C}")}
     assert line_suffixes.dedup(df.limit(0)).count() == 0
+    long = "x" * 3_000_000 + "\n" + "y z " * 500_000
+    many = spark.createDataFrame([("a", long), ("b", long), ("c", "q\n" + long)], "doc_id string, text string")
+    assert {r.doc_id: r.n_cut for r in line_suffixes.dedup(many).collect()} == {"a": 0, "b": 2, "c": 2}
 
 
 def test_suffix_array_is_sorted(spark):
@@ -59,7 +99,7 @@ def test_suffix_array_is_sorted(spark):
     text = {r.doc_id: [ids[x] for x in r.text.split("\n")] for r in df.collect()}
     rows = sorted(line_suffixes.suffix_array(df).collect(), key=lambda r: r.order)
     keys = [text[r.doc.id][r.pos :] for r in rows]
-    assert keys == sorted(keys) and len(keys) == sum(map(len, text.values()))
+    assert keys == sorted(keys) and len(keys) == sum(map(len, {tuple(t) for t in text.values()}))
 
 
 def plain_classes(ids, texts, threshold=0.8):
