@@ -287,3 +287,84 @@ def test_passage_edges(spark):
     got = {(r.doc_id, r.k): r.n_cut for r in compact_windows.find_repeats(df).collect()}
     assert got[None, 1] == 0 and got[None, 2] == 0 and got[5, 3] == 70 and got[7, 5] == 140 and got[10, 1] == 200 and got[5, 4] == 0
     assert compact_windows.find_repeats(df.limit(0)).count() == 0
+
+
+def stock_passages(rng, n):
+    """Passages of 80 words, each another order of 8 of 12 stock sentences of 10 words."""
+    sentences = [[f"s{k}w{i}" for i in range(10)] for k in range(12)]
+    orders = set()
+    while len(orders) < n:
+        orders.add(tuple(rng.permutation(12)[:8].tolist()))
+    return [[w for k in o for w in sentences[k]] for o in sorted(orders)]
+
+
+def around(rng, words):
+    return [f"v{i}" for i in rng.integers(0, 5000, 30)] + words + [f"v{i}" for i in rng.integers(0, 5000, 30)]
+
+
+def test_every_repeat_among_stock_sentences_is_cut(spark):
+    rng = np.random.default_rng(8)
+    passages = stock_passages(rng, 300)
+    later = [passages[k] for k in rng.permutation(300)]
+    docs = [around(rng, p) for p in passages + later]
+    got = compact_windows.find_repeats(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")).collect()
+    for r in got:
+        cut = {k for s in r.repeats for k in range(s.first, s.end)}
+        if r.doc_id >= 300:
+            assert set(range(30, 110)) <= cut
+    grams = {}  # from the definition: the places that runs of 50 equal words cover, if the run stands earlier
+    for r in sorted(got):
+        w, must = r.text.split(), set()
+        for k in range(len(w) - 49):
+            must |= set(range(k, k + 50)) if grams.setdefault(tuple(w[k : k + 50]), (r.doc_id, k)) != (r.doc_id, k) else set()
+        assert must <= {k for s in r.repeats for k in range(s.first, s.end)}
+
+
+def test_recall_of_changed_passages_that_share_phrases(spark):
+    rng = np.random.default_rng(9)
+    passages = stock_passages(rng, 300)
+    changed = []
+    for k in rng.permutation(300):
+        words = list(passages[k])
+        words[rng.integers(5, 75)] = f"x{k}"  # no run of 80 words is left
+        if rng.random() < 0.5:
+            words[rng.integers(0, 4)] = f"y{k}"
+        changed.append(words)
+    docs = [around(rng, p) for p in passages + changed]
+    got = {r.doc_id: r for r in compact_windows.find_repeats(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")).collect()}
+    sets = [set(shingle_sets([" ".join(p).encode()])[0].tolist()) for p in passages + changed]
+    want = [j for j in range(300, 600) if any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i in range(300))]
+    found = sum(sum(s.end - s.first for s in got[j].repeats) >= 64 for j in want)
+    assert len(want) > 200 and found >= 0.95 * len(want)
+
+
+def test_other_ids_and_columns(spark):
+    p = " ".join(f"w{i}" for i in range(70))
+    rows = [("b", p, "u", 1), ("a", "x " * 20 + p, "v", 2), (None, p + " z", "w", 3), ("b", "other text " + p, None, 4)]
+    got = {(r.doc_id, r.k__2): r for r in compact_windows.find_repeats(spark.createDataFrame(rows, "doc_id string, text string, doc string, k__2 int")).collect()}
+    assert {k: r.n_cut for k, r in got.items()} == {(None, 3): 0, ("a", 2): 70, ("b", 1): 70, ("b", 4): 70}
+    assert got["a", 2].doc == "v" and got["a", 2].repeats[0].of is None and got["b", 1].repeats[0].of in ("a", None)
+    long = " ".join(f"w{i % 40_000}" for i in range(90_000))
+    got = {r.doc_id: r.n_cut for r in compact_windows.find_repeats(spark.createDataFrame([(1, long), (2, "q " + long)], "doc_id int, text string")).collect()}
+    assert got == {1: 50_000, 2: 90_000}
+
+
+def test_parts_of_large_groups_give_every_equal_run(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    base = [f"w{i}" for i in range(400)]
+    docs = []
+    for _ in range(60):
+        w = list(base)
+        for k in rng.integers(0, 400, 9):
+            w[k] = f"e{rng.integers(0, 4)}"
+        a = int(rng.integers(0, 300))
+        docs.append(w[a : a + 100])
+    got = sorted(compact_windows.find_repeats(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")).collect())
+    seen, some = {}, 0
+    for r in got:
+        w = r.text.split()
+        for k in range(len(w) - 49):
+            if seen.setdefault(tuple(w[k : k + 50]), (r.doc_id, k)) != (r.doc_id, k):
+                some += 1
+                assert any(s.first <= k and k + 50 <= s.end for s in r.repeats)
+    assert some > 100
