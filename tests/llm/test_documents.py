@@ -26,26 +26,72 @@ def test_window_entropy():
         assert abs(got[p] - h) < 4
 
 
+def plain_entropies(t):
+    """Of each 64-byte window, in thousandths of 6 bits, as whole numbers that may be one off."""
+    out, count = [], collections.Counter(t[:64])
+    for p in range(len(t) - 63):
+        out.append(-sum(v / 64 * math.log2(v / 64) for v in count.values() if v) * 1000 / 6)
+        if p + 64 < len(t):
+            count[t[p]] -= 1
+            count[t[p + 64]] += 1
+    return out
+
+
+def plain_selected(t, ranks):
+    """From the definition: places of the windows that are the rarest of 16 runs of 64 windows or more."""
+    e = fp.window_entropy(np.frombuffer(t, np.uint8))[: len(t) - 63]
+    assert all(abs(x - y) < 4 for x, y in zip(e.tolist(), plain_entropies(t)))
+    rank = [int(ranks[x]) for x in e]
+    points = collections.Counter()
+    for a in range(len(rank)):
+        run = rank[a : a + 64]
+        if max(run):
+            points[a + run.index(max(run))] += 1
+    return sorted(p for p, n in points.items() if n >= 16)
+
+
+def test_selected_features_are_those_of_the_definition(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = [r.text.encode() for r in docs.select("text").collect()]
+    ranks, counts = fp.rarity(docs), collections.Counter()
+    for t in texts:
+        if len(t) >= 64:
+            counts.update(fp.window_entropy(np.frombuffer(t, np.uint8))[: len(t) - 63].tolist())
+    order = sorted(range(fp.ENTROPIES), key=lambda e: (-counts[e], e))
+    assert all(ranks[e] == min(k + 1, 1023) for k, e in enumerate(order) if e >= fp.LEAST) and not ranks[: fp.LEAST].any()
+    for t in [t for t in texts if 64 <= len(t) < 3000][:40]:
+        got = fp.select_features(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]), ranks)
+        assert got.tolist() == plain_selected(t, ranks)
+
+
 def test_features_do_not_depend_on_neighbours(spark, sf):
-    texts = [t.encode() for (t,) in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect()]
-    together = [fp.as_text(f) for f in fp.filters_of(texts)]
-    assert together == [fp.as_text(fp.filters_of([t])[0]) for t in texts]
-    assert all(np.array_equal(fp.from_text(fp.as_text(f)), f) for f in fp.filters_of(texts))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    ranks = fp.rarity(docs)
+    texts = [t.encode() for (t,) in docs.select("text").limit(60).collect()]
+    together = [fp.as_text(f) for f in fp.filters_of(texts, ranks)]
+    assert together == [fp.as_text(fp.filters_of([t], ranks)[0]) for t in texts]
+    assert all(np.array_equal(fp.from_text(fp.as_text(f)), f) for f in fp.filters_of(texts, ranks))
     rng = np.random.default_rng(0)
     long = bytes(rng.integers(97, 123, 5 << 20, np.uint8))  # over the size that is cut
-    once, twice = fp.filters_of([long])[0], fp.filters_of([long, b"x"])[0]
+    once, twice = fp.filters_of([long], ranks)[0], fp.filters_of([long, b"x"], ranks)[0]
     assert np.array_equal(once, twice) and len(once) > 100
+    constant = [fp.filters_of([b"a" * n], ranks)[0] for n in (100, 1 << 20, 3 << 20)]
+    assert all(len(f) == 1 and np.array_equal(f, constant[0]) for f in constant)
+    cut = [b"x" * 70, long[:3_000_000], b"", long[:10]]
+    assert fp.entropy_counts(cut).sum() == 7 + 3_000_000 - 63
+    assert np.array_equal(fp.entropy_counts([long[:3_000_000]]), np.bincount(fp.window_entropy(np.frombuffer(long[:3_000_000], np.uint8))[:-63], minlength=fp.ENTROPIES))
 
 
 def test_op3(spark, sf):
     got = queries.op3_fingerprints(spark, sf).toPandas().sort_values("doc_id")
-    src = spark.read.parquet(f"{sf}/documents.parquet").toPandas().sort_values("doc_id")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    src = docs.toPandas().sort_values("doc_id")
     texts = src.text.tolist()
     follow = texts[1:] + texts[:1]
     edited = [t[: len(t) - len(t) // 4] + u[: len(t) // 4] for t, u in zip(texts, follow)]
     assert got.edited_sha256.tolist() == [hashlib.sha256(t.encode()).hexdigest() for t in edited]
     assert got.n_chars.tolist() == [len(t) for t in texts]
-    own = [fp.as_text(f) for f in fp.filters_of([t.encode() for t in texts])]
+    own = [fp.as_text(f) for f in fp.filters_of([t.encode() for t in texts], fp.rarity(docs))]
     assert got.fingerprint.tolist() == own
     assert got.near_edited.median() > 0.5 and got.near_next.median() < 0.05
 
