@@ -85,16 +85,22 @@ NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 def host_verdicts(failed: DataFrame, host_col: str = "host", failed_col: str = "base_failed", worst_rate: float = 0.5) -> DataFrame:
     """host, n_docs, n_failed, shrunk_rate, host_failed: a row for each host.
 
-    The prior is beta(a, b) with the mean m and variance s of the hosts' rates,
-    weighted by their documents: a + b = m (1 - m) / s - 1, between 1 and 1000
-    (1000 where hosts don't differ).
+    The prior is beta(a, b) with the mean m of all documents. Of the spread of the
+    hosts' rates around it (weighted by their documents), what documents drawn by
+    chance would give is taken off, so that many small hosts don't look unlike
+    each other: with N documents in M hosts of n each, and S the weighted sum of
+    squares over m (1 - m), 1 / (a + b + 1) is (S - M + 1) / (N - sum n**2 / N - M + 1).
+    a + b is held between 1 and 1000 (1000 where hosts don't differ).
     """
     hosts = failed.groupBy(failed[host_col].alias("host")).agg(F.count("*").alias("n_docs"), F.sum(failed[failed_col].cast("long")).alias("n_failed"))
-    n, k = F.col("n_docs"), F.col("n_failed")
-    row = hosts.agg(F.sum("n_docs").alias("n"), F.sum("n_failed").alias("k"), F.sum(k * k / n).alias("sq")).first()  # one row
-    mean = row["k"] / row["n"] if row["n"] else 0.0
-    spread = row["sq"] / row["n"] - mean * mean if row["n"] else 0.0
-    weight = max(1.0, min(1000.0, mean * (1 - mean) / spread - 1)) if spread > 1e-12 else 1000.0
+    n, k = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
+    row = hosts.agg(F.count("*").alias("m"), F.sum(n).alias("n"), F.sum(k).alias("k"), F.sum(k * k / n).alias("sq"), F.sum(n * n).alias("nn")).first()  # one row
+    mean, weight = (row["k"] / row["n"] if row["n"] else 0.0), 1000.0
+    if 0 < mean < 1:
+        room = row["n"] - row["nn"] / row["n"] - (row["m"] - 1)
+        spread = (row["sq"] - row["n"] * mean * mean) / (mean * (1 - mean)) - (row["m"] - 1)
+        if room > 1e-9 and spread > 1e-9:
+            weight = max(1.0, min(1000.0, room / spread - 1))
     rate = (k + F.lit(mean * weight)) / (n + F.lit(weight))
     return hosts.select("host", "n_docs", "n_failed", rate.alias("shrunk_rate"), (rate > worst_rate).alias("host_failed"))
 

@@ -102,8 +102,9 @@ f AS (SELECT d.r, doc_id, host, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesc
   FROM d JOIN w ON d.r = w.r LEFT JOIN l ON d.r = l.r LEFT JOIN c ON d.r = c.r),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
 h AS (SELECT host, count(*) AS n, sum(CAST(base_failed AS INT)) AS k FROM b GROUP BY host),
-m AS (SELECT sum(k) / sum(n) AS mean, sum(CAST(k * k AS DOUBLE) / n) / sum(n) - (sum(k) / sum(n)) * (sum(k) / sum(n)) AS spread FROM h),
-q AS (SELECT mean, CASE WHEN spread > 1e-12 THEN greatest(1, least(1000, mean * (1 - mean) / spread - 1)) ELSE 1000 END AS weight FROM m),
+m AS (SELECT sum(k) / sum(n) AS mean, count(*) - 1 AS others, sum(n) - sum(CAST(n AS DOUBLE) * n) / sum(n) AS mixed, sum(CAST(k AS DOUBLE) * k / n) - sum(n) * (sum(k) / sum(n)) * (sum(k) / sum(n)) AS spread FROM h),
+s AS (SELECT mean, mixed - others AS room, CASE WHEN mean > 0 AND mean < 1 THEN spread / (mean * (1 - mean)) - others ELSE 0 END AS excess FROM m),
+q AS (SELECT mean, CASE WHEN room > 1e-9 AND excess > 1e-9 THEN greatest(1, least(1000, room / excess - 1)) ELSE 1000 END AS weight FROM s),
 v AS (SELECT host, (k + mean * weight) / (n + weight) AS rate FROM h, q)
 SELECT doc_id, b.host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 6) AS shrunk_rate, rate > 0.5 AS host_failed, NOT base_failed AND rate <= 0.5 AS kept
 FROM b JOIN v ON b.host IS NOT DISTINCT FROM v.host""",
