@@ -8,13 +8,15 @@ labelled word by word, and a document gets the language with the greatest mean
 posterior over its words with letters.
 
 Fitting takes a bounded sample (``DOCS_PER_LANGUAGE`` labelled documents of
-each language, lowest hash of id first, ``WORDS_PER_DOC`` words of each) on the
-driver; every document is predicted, whole. Training sequences are spliced from
+each language, lowest hash of id and text first, ``WORDS_PER_DOC`` words of each,
+of at most ``MOST_LANGUAGES`` languages) on the driver; labelled rows that share
+an id, or have none, count each, those of one id, text and label once; every document is predicted, whole. Training sequences are spliced from
 the sample, a part of them from several languages, so that transitions between
 languages are seen.
 
 Null text, or text without letters, is ``und`` with score 0, as is every text if
-nothing labelled was found. Null labels are not learned from. Repeated rows and
+nothing labelled was found. Of equally likely languages the first by name is taken.
+Null labels are not learned from. Repeated rows and
 ids are predicted one by one. An empty table gives no rows.
 """
 
@@ -160,14 +162,14 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Model | None:
 
 def train(df: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model fitted to a bounded sample of the rows where ``learn`` holds and the label is not null."""
-    rows = df.select(df[id_col].alias("i"), df[text_col].alias("t"), df[lang_col].cast("string").alias("lang"), (F.lit(True) if learn is None else learn).alias("ok"))
-    rows = rows.where("ok and lang is not null and t is not null").withColumn("h", F.xxhash64(F.col("i").cast("string")))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "i"))
-    chosen = rows.select("i", "lang", "h").withColumn("nth", nth).where(F.col("nth") <= DOCS_PER_LANGUAGE).orderBy("nth", "lang").limit(DOCS_PER_LANGUAGE * MOST_LANGUAGES)
-    wanted = sorted(r["h"] for r in chosen.select("h").collect())  # bounded by the two constants
+    rows = df.select(df[text_col].alias("t"), df[lang_col].cast("string").alias("lang"), (F.lit(True) if learn is None else learn).alias("ok"), F.xxhash64(df[id_col].cast("string"), df[text_col]).alias("h"))
+    rows = rows.where("ok and lang is not null and t is not null")
+    nth = F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = rows.select("lang", "h").withColumn("nth", nth).where(F.col("nth") <= DOCS_PER_LANGUAGE).distinct()
+    chosen = chosen.orderBy("nth", "lang").limit(DOCS_PER_LANGUAGE * MOST_LANGUAGES).select("lang", "h")
     short = F.concat_ws(" ", F.slice(F.split("t", r"[ \t-\r]+"), 1, WORDS_PER_DOC))
-    texts = rows.where(F.col("h").isin(wanted)).select("lang", short.alias("t"), "h").dropDuplicates(["h"]).orderBy("h").collect()
-    return fit([(r["lang"], r["t"]) for r in texts])
+    texts = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", short.alias("t"), "h").dropDuplicates(["lang", "h"])  # bounded by the two constants
+    return fit([(r["lang"], r["t"]) for r in texts.orderBy("h", "lang").collect()])
 
 
 def label_words(model: Model, words: list[str]) -> list[tuple[str, float]]:
