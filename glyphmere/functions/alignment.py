@@ -34,21 +34,32 @@ def codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
-def matrices(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(pairs, n + 1, m + 1): distances between prefixes."""
-    rows, n, m = len(a), a.shape[1], b.shape[1]
-    d = np.empty((rows, n + 1, m + 1), np.int16)
-    ramp = np.arange(m + 1, dtype=np.int16)
-    d[:, 0] = ramp
+def rows_of(a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
+    """(pairs, m + 1): distances of each prefix of ``a``, the empty one first, to all prefixes of ``b``."""
+    n, m = a.shape[1], b.shape[1]
+    kind = np.int16 if n + m < 1 << 15 else np.int32
+    ramp = np.arange(m + 1, dtype=kind)
+    before, last = None, np.broadcast_to(ramp, (len(a), m + 1))
+    yield last
     for i in range(1, n + 1):
         x = a[:, i - 1, None]
-        cand = np.empty((rows, m + 1), np.int16)
+        cand = np.empty((len(a), m + 1), kind)
         cand[:, 0] = i
-        cand[:, 1:] = np.minimum(d[:, i - 1, 1:] + 1, d[:, i - 1, :-1] + (x != b))
+        cand[:, 1:] = np.minimum(last[:, 1:] + 1, last[:, :-1] + (x != b))
         if i > 1 and m > 1:
             swap = (x == b[:, :-1]) & (a[:, i - 2, None] == b[:, 1:])
-            cand[:, 2:] = np.where(swap, np.minimum(cand[:, 2:], d[:, i - 2, :-2] + 1), cand[:, 2:])
-        d[:, i] = np.minimum.accumulate(cand - ramp, axis=1) + ramp
+            cand[:, 2:] = np.where(swap, np.minimum(cand[:, 2:], before[:, :-2] + 1), cand[:, 2:])
+        before, last = last, np.minimum.accumulate(cand - ramp, axis=1) + ramp
+        yield last
+
+
+def matrices(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(pairs, n + 1, m + 1): distances between prefixes."""
+    d = None
+    for i, row in enumerate(rows_of(a, b)):
+        if d is None:
+            d = np.empty((len(a), a.shape[1] + 1, b.shape[1] + 1), row.dtype)
+        d[:, i] = row
     return d
 
 
@@ -74,23 +85,26 @@ def substitutions(d: np.ndarray, a: np.ndarray, b: np.ndarray, la: np.ndarray, l
 
 def _chunks(a: list[str], b: list[str]) -> Iterator[np.ndarray]:
     """Numbers of pairs of like length, few enough for CELLS."""
-    size = np.fromiter(((len(x) + 1) << 20 | (len(y) + 1) for x, y in zip(a, b)), np.int64, len(a))
-    order = np.argsort(size, kind="stable")
+    size = np.array([(len(x) + 1, len(y) + 1) for x, y in zip(a, b)], np.int64).reshape(-1, 2)
+    order = np.lexsort((size[:, 1], size[:, 0]))
     start, n, m = 0, 0, 0
     for k, at in enumerate(order):
-        n, m = max(n, int(size[at] >> 20)), max(m, int(size[at] & 0xFFFFF))
+        n, m = max(n, int(size[at, 0])), max(m, int(size[at, 1]))
         if k > start and (k + 1 - start) * n * m > CELLS:
             yield order[start:k]
-            start, n, m = k, int(size[at] >> 20), int(size[at] & 0xFFFFF)
+            start, (n, m) = k, size[at].tolist()
     if start < len(order):
         yield order[start:]
 
 
 def distances(a: list[str], b: list[str]) -> np.ndarray:
+    """Distances alone: only the last rows are held, so memory is linear in the lengths."""
     out = np.zeros(len(a), np.int64)
     for at in _chunks(a, b):
         (x, lx), (y, ly) = codes([a[k] for k in at]), codes([b[k] for k in at])
-        out[at] = matrices(x, y)[np.arange(len(at)), lx, ly]
+        for i, row in enumerate(rows_of(x, y)):
+            done = np.flatnonzero(lx == i)
+            out[at[done]] = row[done, ly[done]]
     return out
 
 
