@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -44,6 +45,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 16
             yield batch.slice(start)
 
 
+#: Seconds between the driver's collections of garbage after stored tables.
+COLLECT_EVERY = 5
+_collected = 0.0
 #: Rows of one key that any task may take, whatever their share.
 OFTEN = 10_000
 
@@ -86,7 +90,10 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_folder(spark)}/glyphmere/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     del df
-    spark.sparkContext._jvm.System.gc()  # Spark drops the shuffle files of plans that are gone when the driver collects its garbage
+    global _collected
+    if time.monotonic() - _collected > COLLECT_EVERY:
+        spark.sparkContext._jvm.System.gc()  # Spark drops the shuffle files of plans that are gone when the driver collects its garbage
+        _collected = time.monotonic()
     return spark.read.schema(schema).parquet(path)
 
 

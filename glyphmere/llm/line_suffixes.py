@@ -79,12 +79,12 @@ def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
     return levels
 
 
-def _narrowed(held: DataFrame, ranks: DataFrame, h: int) -> DataFrame:
+def _narrowed(held: DataFrame, ranks: DataFrame, h: int, last: bool) -> DataFrame:
     """Suffixes ``held`` (doc, pos, len, lead, asks) in intervals, after a try to lengthen them by ``h`` lines.
 
     An interval is known by its lead and length. Suffixes that ask move on to the
     longer interval if it holds an earlier place; an interval is kept, with all its
-    suffixes, as long as one of them asks.
+    suffixes, as long as one of them asks (after the last try, those that ask alone).
     """
     on = ranks.select(F.col("doc").alias("doc2"), F.col("pos").alias("pos2"), F.col("rank").alias("g"))
     tried = held.join(on, (F.col("doc") == F.col("doc2")) & (F.col("pos") + F.col("len") == F.col("pos2")), "left")
@@ -99,7 +99,7 @@ def _narrowed(held: DataFrame, ranks: DataFrame, h: int) -> DataFrame:
     moved = (F.col("g") >= 0) & (F.col("deeper") < _at())
     here = F.when(F.col("stays"), F.struct("len", "lead", (F.col("asks") & ~moved).alias("asks")))
     there = F.when(F.col("moves"), F.struct((F.col("len") + h).alias("len"), F.col("deeper").alias("lead"), (F.col("asks") & moved).alias("asks")))
-    out = stored(rows.select("doc", "pos", F.explode(F.array_compact(F.array(here, there))).alias("x")).select("doc", "pos", "x.len", "x.lead", "x.asks"), "held")
+    out = stored(rows.select("doc", "pos", F.explode(F.array_compact(F.array(here, there))).alias("x")).select("doc", "pos", "x.len", "x.lead", "x.asks").where("asks" if last else "true"), "held")
     forget(held, tried, longer, wanted)
     return out
 
@@ -111,12 +111,18 @@ def earlier_runs(lines: DataFrame) -> DataFrame:
     for k in reversed(range(len(levels) - 1)):
         ranks, known = levels[k], levels[k + 1].where(F.col("lead") < _at()).select("doc", "pos", F.lit(True).alias("known"))
         if held is not None:
-            held = _narrowed(held, ranks, 1 << k)
-        new = ranks.join(known, ["doc", "pos"], "left").select("doc", "pos", F.lit(1 << k).alias("len"), "lead", (F.col("known").isNull() & (F.col("lead") < _at())).alias("asks"))
-        grown = stored((new if held is None else held.unionByName(new)).where("asks" if k == 0 else "true"), "held")
-        if held is not None:
-            forget(held)
-        held = grown
+            held = _narrowed(held, ranks, 1 << k, k == 0)
+        new = ranks.join(known, ["doc", "pos"], "left").select("doc", "pos", "rank", F.lit(1 << k).alias("len"), "lead", (F.col("known").isNull() & (F.col("lead") < _at())).alias("asks"))
+        if k:  # an interval is needed whole if one of its suffixes asks
+            new = stored(new, "new")
+            asked = new.groupBy("rank").agg(F.count("*").alias("n"), F.max("asks").alias("asked")).where("asked").select("rank", "n")
+            grown = spread_join(new, asked, ["rank"]).drop("n")
+        else:
+            grown = new.where("asks")
+        grown = grown.drop("rank")
+        whole = stored(grown if held is None else held.unionByName(grown), "held")
+        forget(*([held] if held is not None else []), *([new] if k else []))
+        held = whole
     if held is None:
         held = levels[0].select("doc", "pos", F.lit(1).alias("len"), "lead", F.lit(True).alias("asks"))
     else:
