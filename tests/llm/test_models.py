@@ -1,8 +1,10 @@
 """Language model and language labels."""
 
 import collections
+import functools
 import math
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -14,38 +16,65 @@ ODD = [(None, "a b", 1), (None, None, 2), (5, "a B", 3), (5, "", 4), (9, "x" * 5
 SCHEMA = "doc_id long, text string, score int"
 
 
+def good_turing(counts):
+    """Katz's factors from the counts of counts, in fractions: discounted counts r* = (r + 1) n[r + 1] / n[r], less the part left to counts above 5."""
+    n = collections.Counter(counts)
+    d = {}
+    for r in range(1, 6):
+        if not (n[1] and n[r] and n[r + 1]) or 6 * n[6] >= n[1]:
+            d[r] = Fraction(1)
+            continue
+        above = Fraction(6 * n[6], n[1])
+        d[r] = (Fraction((r + 1) * n[r + 1], n[r] * r) - above) / (1 - above)
+        if not 0 < d[r] <= 1:
+            d[r] = Fraction(1)
+    return lambda c: c * d.get(c, 1)
+
+
 def plain_scores(docs):
-    """The definition, by dictionaries: (tokens, known, base, score) of (text, learned) rows."""
+    """The definition, by dictionaries and fractions: (tokens, known, base, score) of (text, learned) rows."""
     tokens = [[*(t or "").encode().lower().split(), "end"] for t, _ in docs]
-    one, two, ctx, after = collections.Counter(), collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    tables = [collections.Counter() for _ in range(3)]  # words, pairs, triples
     for (_, learned), ts in zip(docs, tokens):
         if learned:
-            one.update(ts)
-            for a, b in zip(["start", *ts], ts):
-                two[a, b] += 1
-                ctx[a] += 1
-                after[a].add(b)
-    n, v = sum(one.values()), len(one)
-    of = [np.array([sum(c == r for c in t.values()) for r in range(7)]) * (np.arange(7) > 0) for t in (one, two)]
-    words, d = katz.Words(n, of[0]), katz.discounts(of[1])
-    p1 = lambda w: float(words(np.array([one[w]]))[0])
-    assert n == 0 or abs(sum(map(p1, one)) + words.unknown - 1) < 1e-9
-    disc = lambda c: c * (d[c] if c <= katz.LARGEST else 1)
-    weights = {}
-    for a in ctx:
-        left, total = sum(two[a, b] - disc(two[a, b]) for b in after[a]), ctx[a]
-        if left <= 0:
-            left, total = 1, total + 1
-        seen = sum(p1(b) for b in after[a])
-        weights[a] = total, left / total / (1 - seen)
-        assert abs(sum(disc(two[a, b]) for b in after[a]) / total + weights[a][1] * (1 - seen) - 1) < 1e-9  # a context sums to 1
+            for a, b, c in zip(["start", "start", *ts], ["start", *ts], ts):
+                for table, gram in zip(tables, ((c,), (b, c), (a, b, c))):
+                    table[gram] += 1
+    one, total = tables[0], sum(tables[0].values())
+    discounted = [good_turing(t.values()) for t in tables]
+    after = collections.defaultdict(list)
+    for table in tables[1:]:
+        for gram in table:
+            after[gram[:-1]].append(gram)
+    left = total - sum(map(discounted[0], one.values()))
+    size, unknown = (total, left) if left else (total + 1, 1)
+
+    @functools.cache
+    def weight(context):
+        table, disc = tables[len(context)], discounted[len(context)]
+        count, taken = sum(table[g] for g in after[context]), sum(table[g] - disc(table[g]) for g in after[context])
+        if not after[context]:
+            return 1, 1.0
+        count, taken = (count, taken) if taken else (count + 1, 1)
+        alpha = float(Fraction(taken) / count) / (1 - sum(prob(g[1:]) for g in after[context]))
+        return count, alpha
+
+    @functools.cache
+    def prob(gram):
+        if len(gram) == 1:
+            return float(Fraction(discounted[0](one[gram])) / size) if one[gram] else float(Fraction(unknown) / size)
+        table, (count, alpha) = tables[len(gram) - 1], weight(gram[:-1])
+        return float(Fraction(discounted[len(gram) - 1](table[gram])) / count) if table[gram] else alpha * prob(gram[1:])
+
+    if total:
+        assert abs(sum(map(prob, one)) + unknown / size - 1) < 1e-9
+        vocabulary = [w for (w,) in one]
+        for context in [c for c in after if len(vocabulary) < 4000][:: max(1, len(after) // 20)]:  # each context sums to 1
+            assert abs(sum(prob((*context, w)) for w in vocabulary) + prob((*context, "never seen")) - 1) < 1e-6
     out = []
     for ts in tokens:
-        s = 0.0
-        for a, b in zip(["start", *ts], ts):
-            total, alpha = weights.get(a, (1, 1.0))
-            s += math.log10(disc(two[a, b]) / total if two[a, b] else alpha * p1(b))
-        out.append((len(ts), sum(one[t] > 0 for t in ts), sum(math.log10((one[t] + 1) / (n + v + 1)) for t in ts), s))
+        s = sum(math.log10(prob(g)) for g in zip(["start", "start", *ts], ["start", *ts], ts))
+        out.append((len(ts), sum((t,) in one for t in ts), sum(math.log10((one[t,] + 1) / (total + len(one) + 1)) for t in ts), s))
     return out
 
 
@@ -109,7 +138,36 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(post, want) and np.allclose(moves, wm)
 
 
-@pytest.mark.parametrize("counts", [[0, 0, 0, 0, 0, 0, 0], [0, 10, 5, 3, 2, 1, 1], [0, 1, 9, 1, 9, 1, 9]])
-def test_discounts_are_factors(counts):
-    d = katz.discounts(np.array(counts))
-    assert ((d > 0) & (d <= 1)).all()
+def test_discounts_against_fractions():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        counts = rng.integers(0, 40, 8) * rng.integers(0, 2, 8) + rng.integers(0, 3, 8)
+        got = katz.discounts(np.concatenate([[0], np.sort(counts)[::-1][:6]]))
+        n = [0, *np.sort(counts)[::-1][:6].tolist()]
+        want = good_turing([r for r in range(1, 7) for _ in range(n[r])])
+        assert np.allclose(got[1:], [float(want(r)) / r for r in range(1, 6)]) and ((got > 0) & (got <= 1)).all()
+
+
+def test_counts_beyond_32_bits():
+    big = np.array([0, 5_000_000_000, 3, 2**62], np.uint64)
+    assert katz.unboxed(katz.boxed([big, big.astype(np.float64)]), "uf")[0].tolist() == big.tolist()
+    words = katz.Words(10_000_000_000, np.array([0, 4, 2, 1, 1, 1, 1]))
+    assert abs(words(big[1:2])[0] - 0.5) < 1e-9
+
+
+def test_katz_with_small_chunks_and_buckets(spark, sf, monkeypatch):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {r.doc_id: r.score for r in katz.score(df, F.col("doc_id") % 5 != 0).collect()}
+    monkeypatch.setattr(katz, "CHUNK_TOKENS", 3_000)
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 4_000)
+    monkeypatch.setattr(katz, "MOST_SPREAD", 20)
+    got = {r.doc_id: r.score for r in katz.score(df, F.col("doc_id") % 5 != 0).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-7 for k in want)
+
+
+def test_labels_that_share_an_id_are_learned(spark):
+    en, de, fr = "the and with that thing where from", "und nicht der die das ist auf", "le la les dans pour avec sur"
+    rows = [(None, "en", en), (None, "de", de), (7, "fr", fr), (7, "en", en + " this"), (7, "fr", fr)]
+    model = language_crf.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert model.languages == ["de", "en", "fr"]
+    assert [language_crf.predict_batch(model, [t])[0][0] for t in (en, de, fr)] == ["en", "de", "fr"]
