@@ -9,6 +9,9 @@
    least waste first, applies one as often as supplies allow (so each step
    uses up a length, which bounds the plan by ``capacity`` patterns), prunes
    by lower and waste bounds, and starts from a best-fit-decreasing incumbent.
+   Steps, branches a bin and fillings looked at are parameters; without limits
+   and with ``one_by_one`` the search is exhaustive. The lower bound on the number
+   of sequences is returned with the pieces, so what may be left to gain shows.
 3. Each piece finds its place from its length and its rank among pieces of
    that length. Ranks come from counts by (task, length), so a length that
    many pieces share is never gathered in one task.
@@ -20,6 +23,7 @@ no rows.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import zlib
@@ -35,11 +39,8 @@ from glyphmere.llm._common import Recent, as_bytes, slices, stored
 
 #: Entries of each worker's memo of segments.
 SEGMENTS_KEPT = 150_000
-#: Steps of the search. The plan is complete after any number of them.
-SEARCH_STEPS = 2_500
-
-#: Fillings looked at for one bin.
-FILLINGS_SEEN = 60
+#: Steps of the search, branches tried of each bin, and fillings looked at to find them. The plan is whole whatever they are.
+SEARCH_STEPS, BRANCHES, LOOKS = 2_500, 3, 2_000
 
 Counts = dict[int, int]
 Plan = list[tuple[tuple[int, ...], int]]
@@ -180,8 +181,8 @@ def best_fit(counts: Counts, capacity: int) -> Plan:
     return [(tuple(p), n) for groups in open_bins.values() for p, n in groups]
 
 
-def fillings(counts: Counts, room: int, most_waste: int) -> Iterator[tuple[int, ...]]:
-    """Undominated ways to fill ``room``, least waste first, then longest pieces first.
+def fillings(counts: Counts, room: int, most_waste: int, looks: int | None = None) -> Iterator[tuple[int, ...]]:
+    """Undominated ways to fill ``room``, least waste first, then longest pieces first; of the first ``looks`` ways.
 
     One is dominated if a piece left over still fits, or could replace a shorter one in it.
     """
@@ -218,7 +219,7 @@ def fillings(counts: Counts, room: int, most_waste: int) -> Iterator[tuple[int,
             continue
         for found in search(0, room - waste):
             looked += 1
-            if looked > FILLINGS_SEEN:
+            if looks is not None and looked > looks:
                 return
             if waste:
                 left = {s for s in sizes if counts[s] > found.count(s)}
@@ -227,8 +228,22 @@ def fillings(counts: Counts, room: int, most_waste: int) -> Iterator[tuple[int,
             yield found
 
 
-def complete_bins(counts: Counts, capacity: int, steps: int = SEARCH_STEPS) -> Plan:
-    """Patterns and how often each is used: as few bins as the search finds."""
+def longest_first(counts: Counts, room: int) -> tuple[int, ...]:
+    """The filling that takes the longest piece that fits, again and again."""
+    found: list[int] = []
+    for s in sorted(counts, reverse=True):
+        k = min(counts[s], room // s)
+        found += [s] * k
+        room -= k * s
+    return tuple(found)
+
+
+def complete_bins(counts: Counts, capacity: int, steps: int | None = SEARCH_STEPS, branches_a_bin: int | None = BRANCHES, looks: int | None = LOOKS, one_by_one: bool = False) -> Plan:
+    """Patterns and how often each is used: as few bins as the search finds.
+
+    ``None`` lifts a limit. ``one_by_one`` tries each pattern for one bin at a
+    time, where else it is used as often as supplies allow.
+    """
     counts = {s: n for s, n in counts.items() if n > 0}
     best = best_fit(counts, capacity)
     fewest, target = sum(n for _, n in best), lower_bound(counts, capacity)
@@ -242,13 +257,17 @@ def complete_bins(counts: Counts, capacity: int, steps: int = SEARCH_STEPS) -> P
         longest = max(left)
         left[longest] -= 1
         allowed = (fewest - 1) * capacity - total - wasted
-        found = list_first(fillings({s: n for s, n in left.items() if n}, capacity - longest, allowed), 3)
+        others = {s: n for s, n in left.items() if n}
+        found = list(itertools.islice(fillings(others, capacity - longest, allowed, looks), branches_a_bin))
+        if not found and looks is not None:  # none among those looked at
+            found = [longest_first(others, capacity - longest)]
         left[longest] += 1
         return iter([(longest, *f) for f in found])
 
     stack.append(branches())
-    while stack and steps > 0 and fewest > target:
-        steps -= 1
+    step = 0
+    while stack and (steps is None or step < steps) and fewest > target:
+        step += 1
         pattern = next(stack[-1], None)
         if pattern is None:
             stack.pop()
@@ -259,7 +278,7 @@ def complete_bins(counts: Counts, capacity: int, steps: int = SEARCH_STEPS) -> P
                     left[s] = left.get(s, 0) + times
             continue
         need = {s: pattern.count(s) for s in pattern}
-        times = min(left[s] // k for s, k in need.items())
+        times = 1 if one_by_one else min(left[s] // k for s, k in need.items())
         slack = capacity - sum(pattern)
         if slack:
             times = max(1, min(times, ((fewest - 1) * capacity - total - wasted) // slack))
@@ -282,10 +301,6 @@ def complete_bins(counts: Counts, capacity: int, steps: int = SEARCH_STEPS) -> P
     return best
 
 
-def list_first(items: Iterator, most: int) -> list:
-    return [x for _, x in zip(range(most), items)]
-
-
 def places(plan: Plan) -> np.ndarray:
     """Rows (length, first rank, pieces a bin, first sequence, first offset), by length and rank."""
     rows, taken, sequence = [], {}, 0
@@ -301,12 +316,13 @@ def places(plan: Plan) -> np.ndarray:
 
 
 def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
+    """``id_col``, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document; least_sequences: that no packing needs fewer than."""
     spark = df.sparkSession
     made = stored(pieces(df, tokenizer, capacity, end_id, id_col, text_col).withColumnRenamed(id_col, "i"), "pieces")
     by_task = made.groupBy("part", "length").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     table = spark.sparkContext.broadcast(places(complete_bins(counts, capacity)))  # at most capacity patterns
+    least = lower_bound(counts, capacity) if counts else 0
     before = by_task.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,4 +337,4 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, i
 
     kind = df.schema[id_col].dataType.simpleString()
     ranked = made.join(before, ["part", "length"]).select("i", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(run, f"i {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("i", id_col)
+    return ranked.mapInArrow(run, f"i {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("i", id_col).withColumn("least_sequences", F.lit(least).cast("long"))

@@ -87,6 +87,21 @@ def test_plans_are_whole_and_small():
     assert sum(n for _, n in packing.complete_bins(big, 1024)) <= packing.lower_bound(big, 1024) * 1.001
 
 
+def test_exhaustive_search_is_exact():
+    rng = random.Random(1)
+    for _ in range(60):
+        capacity = rng.choice([10, 20, 37])
+        sizes = sorted((rng.randrange(2, capacity // 2 + 3) for _ in range(rng.randrange(1, 11))), reverse=True)
+        plan = packing.complete_bins(collections.Counter(sizes), capacity, None, None, None, True)
+        assert sorted(s for p, n in plan for s in p * n) == sorted(sizes) and sum(n for _, n in plan) == exact_bins(sizes, capacity)
+
+
+def test_search_without_undominated_fillings_goes_on():
+    counts = collections.Counter(random.Random(2).choices(range(200, 520), k=5_000))
+    fewest = [sum(n for _, n in packing.complete_bins(counts, 1024, looks=looks)) for looks in (1, packing.LOOKS)]
+    assert max(fewest) <= sum(n for _, n in packing.best_fit(counts, 1024))
+
+
 def test_fillings_are_undominated():
     for f in packing.fillings({3: 2, 4: 1, 5: 1, 9: 1}, 12, 3):
         left = {3: 2 - f.count(3), 4: 1 - f.count(4), 5: 1 - f.count(5), 9: 1 - f.count(9)}
@@ -119,4 +134,6 @@ def test_packing(spark, sf, rows):
         assert at <= 1024
     total = sum(r.length for r in got)
     assert len(by) <= -(-total // 1024) * 1.02 + 1
+    (least,) = {r.least_sequences for r in got}
+    assert -(-total // 1024) <= least <= len(by)
     assert packing.pack(df.limit(0), BYTES).count() == 0
