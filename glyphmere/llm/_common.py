@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -52,6 +53,14 @@ _collected = 0.0
 OFTEN = 10_000
 
 
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the machine; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim is not None:
+        trim(0)
+
+
 class Recent(dict):
     """A bounded memo: ``make(key)`` fills it, and of older entries those used again since stay."""
 
@@ -84,16 +93,22 @@ def shared_folder(spark: SparkSession) -> str:
     return re.sub(r"/+$", "", folder)
 
 
+def _collect(spark: SparkSession) -> None:
+    """Collects the driver's garbage, at which Spark drops the shuffle files of plans that are gone."""
+    global _collected
+    if time.monotonic() - _collected > COLLECT_EVERY:
+        spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to a table in the shared folder and read back, which cuts its lineage and survives lost executors."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark)}/glyphmere/{what}-{uuid.uuid4().hex}"
+    _collect(spark)
     df.write.parquet(path)
     del df
-    global _collected
-    if time.monotonic() - _collected > COLLECT_EVERY:
-        spark.sparkContext._jvm.System.gc()  # Spark drops the shuffle files of plans that are gone when the driver collects its garbage
-        _collected = time.monotonic()
+    _collect(spark)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -107,16 +122,18 @@ def forget(*frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str = "n") -> DataFrame:
-    """Inner join of stored ``rows`` with ``groups``, which has one row a key; ``size`` is the number of rows of the key.
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str = "n") -> DataFrame | None:
+    """Inner join of stored ``rows`` with ``groups``, which has one row a key; ``size`` is the number of rows of the key. None if there are no groups.
 
     Keys of more than 1 in ``4 * partitions`` of all rows, of which there are at
     most so many, are joined by broadcast. So no task gets all rows of a hot key.
     """
     most = 4 * parts_of(rows.sparkSession)
     state = groups.agg(F.sum(size).alias("total"), F.max(size).alias("largest")).first()
-    often = max((state["total"] or 0) // most, OFTEN)
-    if (state["largest"] or 0) <= often:
+    if state["total"] is None:
+        return None
+    often = max(state["total"] // most, OFTEN)
+    if state["largest"] <= often:
         return rows.join(groups, keys)
     hot = F.broadcast(groups.where(F.col(size) > often))
     rest = rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col(size) <= often), keys)

@@ -54,37 +54,39 @@ def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return first.select(F.struct(F.col("i.id").alias("id"), "h").alias("doc"), "pos", "a", "b")
 
 
-def _ranked(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of the stored pairs (doc, pos, *keys) that share their keys, with the keys' rank and the group's lead.
+def _ranked(pairs: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Rows of the stored pairs (doc, pos, *keys) that share their keys, with the keys' rank and the group's lead; None if there are none.
 
     Groups, not rows, are sorted, so a very common pair is one row of the sort.
     """
     n = parts_of(pairs.sparkSession)
     groups = pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("doc", "pos")).alias("lead")).where("n > 1")
-    groups = groups.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id())
-    groups = stored(groups, "groups")
-    ranks = stored(spread_join(pairs, groups, keys).select("doc", "pos", "rank", "lead"), "suffixes")
+    groups = stored(groups.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()), "groups")
+    shared = spread_join(pairs, groups, keys)
+    ranks = None if shared is None else stored(shared.select("doc", "pos", "rank", "lead"), "suffixes")
     forget(pairs, groups)
     return ranks
 
 
 def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
-    """For h = 1, 2, 4...: doc, pos, rank (by h lines), lead of the suffixes whose first h lines stand elsewhere too."""
-    levels = [_ranked(stored(lines, "pairs"), ["a", "b"])]
-    while levels[-1].limit(1).count():
-        ranks, h = levels[-1], 1 << (len(levels) - 1)
+    """For h = 1, 2, 4...: doc, pos, rank (by h lines), lead of the suffixes whose first h lines stand elsewhere too, as long as there are any."""
+    levels = []
+    ranks = _ranked(stored(lines, "pairs"), ["a", "b"])
+    while ranks is not None:
+        levels.append(ranks)
+        h = 1 << (len(levels) - 1)
         on = ranks.select("doc", (F.col("pos") - h).alias("pos"), F.col("rank").alias("then"))
         pairs = ranks.select("doc", "pos", F.col("rank").alias("now")).join(on, ["doc", "pos"])
-        levels.append(_ranked(stored(pairs, "pairs"), ["now", "then"]))
+        ranks = _ranked(stored(pairs, "pairs"), ["now", "then"])
     return levels
 
 
-def _narrowed(held: DataFrame, ranks: DataFrame, h: int, last: bool) -> DataFrame:
+def _narrowed(held: DataFrame, ranks: DataFrame, h: int) -> tuple[DataFrame, list[DataFrame]]:
     """Suffixes ``held`` (doc, pos, len, lead, asks) in intervals, after a try to lengthen them by ``h`` lines.
 
     An interval is known by its lead and length. Suffixes that ask move on to the
     longer interval if it holds an earlier place; an interval is kept, with all its
-    suffixes, as long as one of them asks (after the last try, those that ask alone).
+    suffixes, as long as one of them asks. Also the stored tables that this reads.
     """
     on = ranks.select(F.col("doc").alias("doc2"), F.col("pos").alias("pos2"), F.col("rank").alias("g"))
     tried = held.join(on, (F.col("doc") == F.col("doc2")) & (F.col("pos") + F.col("len") == F.col("pos2")), "left")
@@ -94,39 +96,33 @@ def _narrowed(held: DataFrame, ranks: DataFrame, h: int, last: bool) -> DataFram
     left = F.when(F.col("g") < 0, F.col("asking")).otherwise(F.col("first.asks"))
     longer = stored(longer.select("lead", "len", "g", "n", F.struct("first.doc", "first.pos").alias("deeper"), left.alias("left"), ((F.col("g") >= 0) & (F.col("asking") > F.col("first.asks"))).alias("moves")), "intervals")
     stays = longer.groupBy("lead", "len").agg((F.sum("left") > 0).alias("stays"), F.count("*").alias("kinds"))
-    wanted = stored(spread_join(longer, stays, ["lead", "len"], "kinds").where("stays or moves").drop("left", "kinds"), "intervals")
+    wanted = spread_join(longer, stays, ["lead", "len"], "kinds").where("stays or moves").drop("left", "kinds")
     rows = spread_join(tried, wanted, ["lead", "len", "g"])
     moved = (F.col("g") >= 0) & (F.col("deeper") < _at())
     here = F.when(F.col("stays"), F.struct("len", "lead", (F.col("asks") & ~moved).alias("asks")))
     there = F.when(F.col("moves"), F.struct((F.col("len") + h).alias("len"), F.col("deeper").alias("lead"), (F.col("asks") & moved).alias("asks")))
-    out = stored(rows.select("doc", "pos", F.explode(F.array_compact(F.array(here, there))).alias("x")).select("doc", "pos", "x.len", "x.lead", "x.asks").where("asks" if last else "true"), "held")
-    forget(held, tried, longer, wanted)
-    return out
+    return rows.select("doc", "pos", F.explode(F.array_compact(F.array(here, there))).alias("x")).select("doc", "pos", "x.len", "x.lead", "x.asks"), [tried, longer]
 
 
 def earlier_runs(lines: DataFrame) -> DataFrame:
     """doc, pos, len, lead: for each place that has any, the longest run of lines from there on that begins at an earlier place too, and the first such place."""
     levels = suffix_ranks(lines)
     held = None
-    for k in reversed(range(len(levels) - 1)):
-        ranks, known = levels[k], levels[k + 1].where(F.col("lead") < _at()).select("doc", "pos", F.lit(True).alias("known"))
-        if held is not None:
-            held = _narrowed(held, ranks, 1 << k, k == 0)
-        new = ranks.join(known, ["doc", "pos"], "left").select("doc", "pos", "rank", F.lit(1 << k).alias("len"), "lead", (F.col("known").isNull() & (F.col("lead") < _at())).alias("asks"))
-        if k:  # an interval is needed whole if one of its suffixes asks
-            new = stored(new, "new")
-            asked = new.groupBy("rank").agg(F.count("*").alias("n"), F.max("asks").alias("asked")).where("asked").select("rank", "n")
-            grown = spread_join(new, asked, ["rank"]).drop("n")
-        else:
-            grown = new.where("asks")
-        grown = grown.drop("rank")
-        whole = stored(grown if held is None else held.unionByName(grown), "held")
-        forget(*([held] if held is not None else []), *([new] if k else []))
-        held = whole
+    for k in reversed(range(len(levels))):
+        ranks = levels[k]
+        new = ranks.select("doc", "pos", F.lit(1 << k).alias("len"), "lead", (F.col("lead") < _at()).alias("asks"))
+        used = []
+        if held is not None:  # those that ask in a deeper interval don't ask here
+            known = levels[k + 1].where(F.col("lead") < _at()).select("doc", "pos", F.lit(True).alias("known"))
+            new = new.join(known, ["doc", "pos"], "left").withColumn("asks", F.col("asks") & F.col("known").isNull()).drop("known")
+            narrowed, used = _narrowed(held, ranks, 1 << k)
+            new = narrowed.unionByName(new)
+            used.append(held)
+        held = stored(new.where("asks" if k == 0 else "true"), "held")  # in the end only those that ask matter
+        forget(*used)
+    forget(*levels)
     if held is None:
-        held = levels[0].select("doc", "pos", F.lit(1).alias("len"), "lead", F.lit(True).alias("asks"))
-    else:
-        forget(*levels)
+        return lines.select("doc", "pos", F.lit(1).alias("len"), F.struct("doc", "pos").alias("lead")).where("false")
     return held.drop("asks")
 
 
@@ -146,14 +142,14 @@ def suffix_array(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     hashed = lines_of(df, id_col, text_col)
     lines = hashed.groupBy("a", "b").agg(F.count("*").alias("n")).repartitionByRange(parts_of(df.sparkSession), "a", "b").sortWithinPartitions("a", "b").withColumn("rank", F.monotonically_increasing_id())
-    ranks = stored(spread_join(hashed, stored(lines, "groups"), ["a", "b"]).select("doc", "pos", "rank"), "suffixes")
+    ranks = stored(hashed.join(stored(lines, "groups"), ["a", "b"]).select("doc", "pos", "rank"), "suffixes")
     h = 1
     for _ in range(most_rounds):
         on = ranks.select("doc", (F.col("pos") - h).alias("pos"), F.col("rank").alias("then"))
         pairs = stored(ranks.join(on, ["doc", "pos"], "left").select("doc", "pos", "rank", F.coalesce("then", F.lit(-1)).alias("then")), "pairs")  # -1: the document ends there
         groups = pairs.groupBy("rank", "then").agg(F.count("*").alias("n"))
         groups = stored(groups.repartitionByRange(parts_of(df.sparkSession), "rank", "then").sortWithinPartitions("rank", "then").withColumn("named", F.monotonically_increasing_id()), "groups")
-        ranks, h = stored(spread_join(pairs, groups, ["rank", "then"]).select("doc", "pos", F.col("named").alias("rank")), "suffixes"), 2 * h
+        ranks, h = stored(pairs.join(groups, ["rank", "then"]).select("doc", "pos", F.col("named").alias("rank")), "suffixes"), 2 * h
         if not groups.where("n > 1 and then >= 0").limit(1).count():
             break
     return ranks.select("doc", "pos", F.col("rank").alias("order"))
@@ -189,8 +185,8 @@ def listed_runs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     first = F.col("runs")[0]
     whole = F.when((first["first"] == 0) & (first["end"] == F.col("n_lines")), first).otherwise(F.struct(F.lit(0).alias("first"), F.col("n_lines").alias("end"), F.col("i.id").alias("of"), F.lit(0).alias("of_line")))
     groups = groups.join(own, ["i", "h"], "left").select("h", "n", F.col("i").alias("lead"), F.array(whole).alias("runs"))
-    copies = spread_join(texts, stored(groups, "copies"), ["h"]).where(F.col("i") != F.col("lead"))
-    return own.unionByName(copies.select("i", "h", "runs"))
+    copies = spread_join(texts, stored(groups, "copies"), ["h"])
+    return own if copies is None else own.unionByName(copies.where(F.col("i") != F.col("lead")).select("i", "h", "runs"))
 
 
 def dedup(df: DataFrame, min_lines: int = 1, min_chars: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
