@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterable
+from dataclasses import replace
+from itertools import islice
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ from glyphmere.plans.axes import metric_value, parse_fields, validate_metric
 from glyphmere.plans.pairs import Config, score, watchlist
 from glyphmere.sources import readers, writers
 
+#: Lines of standard input scored at once.
+BATCH = 10_000
 USAGE = """usage: glyphmere [options] A B
        glyphmere [options] --stdin
        glyphmere [options] --string S --list FILE
@@ -125,6 +131,22 @@ def _single(spark: SparkSession, o: dict, out) -> int:
     return writers.OK if cfg.threshold is None or row["metric"] <= cfg.threshold else writers.NO_MATCH
 
 
+def _batches(spark: SparkSession, cfg: Config, lines: Iterable[str], out) -> int:
+    """Scores pair lines as they come, ``BATCH`` at a time, and prints results and malformed lines in their order; the number of results."""
+    cfg = replace(cfg, sort=False, top=None)
+    found = 0
+    source = enumerate(line.rstrip("\n") for line in lines)
+    while part := list(islice(source, BATCH)):
+        good, bad = readers.split_pairs(spark.createDataFrame(part, "ord long, value string"), keep=("ord",))
+        kept = score(good, cfg=cfg, gate=True, keep=("ord",))
+        rows = [(r["ord"], r["value"], n) for n, df in enumerate((bad, kept)) for r in writers.json_lines(df, keep=("ord",)).collect()]
+        for _, value, is_pair in sorted(rows):
+            found += is_pair
+            print(value, file=out)
+        out.flush()
+    return found
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=None, lines: list[str] | None = None) -> int:
     out = out or sys.stdout
     try:
@@ -141,22 +163,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
             print(f"{r['part']} {r['version']}", file=out)
         return writers.OK
     cfg: Config = o["cfg"]
-    if o["list"] is not None:
-        df = watchlist(readers.names(spark, o["list"]), o["string"], cfg)
-        bad = None
-    elif o["stdin"]:
-        text = [line.rstrip("\n") for line in (sys.stdin if lines is None else lines)]
-        good, bad = readers.split_pairs(spark.createDataFrame([(x,) for x in text], "value string"))
-        df = score(good, cfg=Config(**{**cfg.__dict__, "sort": False, "top": None}), gate=True)
+    if o["stdin"]:
+        found = _batches(spark, cfg, sys.stdin if lines is None else lines, out)
+    elif o["list"] is not None:
+        try:
+            listed = readers.names(spark, o["list"])
+        except AnalysisException as e:
+            print(f"error: cannot open --list file {o['list']!r}: {e.getCondition() or e}", file=sys.stderr)
+            return writers.USAGE
+        found = 0
+        for r in writers.json_lines(watchlist(listed, o["string"], cfg)).toLocalIterator():
+            found += 1
+            print(r["value"], file=out)
     else:
         return _single(spark, o, out)
-    found = 0
-    for r in writers.json_lines(df).toLocalIterator():
-        found += 1
-        print(r["value"], file=out)
-    if bad is not None:
-        for r in writers.json_lines(bad).toLocalIterator():
-            print(r["value"], file=out)
     filtered = cfg.threshold is not None or cfg.typosquat
     return writers.NO_MATCH if filtered and not found else writers.OK
 

@@ -17,11 +17,13 @@ ASCII = r"^[\x00-\x7F]*$"
 #: ASCII characters that identifiers may hold (Unicode Standard 39).
 PLAIN = r"^[A-Za-z0-9'\-.:_]*$"
 SEPARATORS = "-_./"
+# The characters with the Unicode property White_Space.
+WHITE_SPACE = "".join(map(chr, [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def trimmed(s: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(s, r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "")
+    return F.btrim(s, F.lit(WHITE_SPACE))
 
 
 def levenshtein(a: Column, b: Column) -> Column:
@@ -29,27 +31,32 @@ def levenshtein(a: Column, b: Column) -> Column:
 
 
 def skeleton(s: Column, sources: Sources = Sources()) -> Column:
-    """The string with every character replaced by what it looks like, in one pass.
+    """The string with every character replaced by what it looks like, in one pass, all in the JVM.
 
-    ASCII strings stay in the JVM (no look-alike holds a character that is itself
-    replaced, so replacements can follow each other); only others go to Python.
+    Characters with one look-alike are translated together. The others are looked
+    up in strings that have any; so is a character whose look-alike is itself one
+    that is replaced.
     """
     table = confusables(sources)
-
-    def other(col: pd.Series) -> pd.Series:
-        return col.map(table.skeleton, na_action="ignore")
-
-    native = s
     for pair, looks in table.digraphs.items():
-        native = F.replace(native, F.lit(pair), F.lit(looks))
-    ascii_map = {chr(c): t for c, t in table.table.items() if c < 128}
-    single = {c: t for c, t in ascii_map.items() if len(t) == 1}
-    if single:
-        native = F.translate(native, "".join(single), "".join(single.values()))
-    for c, t in ascii_map.items():
+        s = F.replace(s, F.lit(pair), F.lit(looks))
+    ascii_only = {chr(c): t for c, t in table.table.items() if c < 128}
+    native = _replaced(s, {c: t for c, t in ascii_only.items() if len(t) == 1})
+    for c, t in ascii_only.items():
         if len(t) != 1:
             native = F.replace(native, F.lit(c), F.lit(t))
-    return F.when(s.rlike(ASCII), native).otherwise(F.pandas_udf(other, "string")(F.when(~s.rlike(ASCII), s)))
+    single = {chr(c): t for c, t in table.table.items() if len(t) == 1 and ord(t) not in table.table}
+    longer = {chr(c): t for c, t in table.table.items() if chr(c) not in single}
+    other = _replaced(s, single)
+    if longer:
+        looks = F.str_to_map(F.lit("\x02".join(f"{c}\x01{t}" for c, t in longer.items() if c not in "\x01\x02")), F.lit("\x02"), F.lit("\x01"))
+        one_by_one = F.array_join(F.transform(F.split(other, ""), lambda c: F.coalesce(F.try_element_at(looks, c), c)), "")
+        other = F.when(other.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in longer) + "]"), one_by_one).otherwise(other)
+    return F.when(s.rlike(ASCII), native).otherwise(other)
+
+
+def _replaced(s: Column, single: dict[str, str]) -> Column:
+    return F.translate(s, "".join(single), "".join(single.values())) if single else s
 
 
 def _nonnull(a: pd.Series, b: pd.Series) -> np.ndarray:

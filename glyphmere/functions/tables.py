@@ -25,6 +25,9 @@ KEY_ROWS = (("1234567890-=", 0.0, 0.0), ("qwertyuiop[]", 1.0, 0.5), ("asdfghjkl;
 RECOMMENDED = "Arab Armn Beng Bopo Cyrl Deva Ethi Geor Grek Gujr Guru Hang Hani Hebr Hira Kana Khmr Knda Laoo Latn Mlym Mymr Orya Sinh Taml Telu Thaa Thai Tibt".split()
 # Writing systems of several scripts.
 SYSTEMS = {"Hani": ("Hanb", "Jpan", "Kore"), "Hira": ("Jpan",), "Kana": ("Jpan",), "Hang": ("Kore",), "Bopo": ("Hanb",)}
+# Letters with a cedilla or comma below, and what they look like.
+CEDILLAS = {0x00C7: "C\u0326", 0x00E7: "c\u0326", 0x0163: "\u01ab", 0x021A: "\u0162", 0x021B: "\u01ab"}
+CARON, BREVE = "\u030c", "\u0306"
 SOURCES = ("uts39", "flowcrypt", "digraph")
 
 
@@ -77,7 +80,11 @@ def _jvm(spark: SparkSession | None):
 
 @functools.lru_cache(maxsize=1)
 def _icu_table() -> dict[int, str]:
-    """Skeletons that ICU gives single code points. It decomposes text first, so composed characters have none of their own."""
+    """Skeletons that ICU gives single code points, and those of characters that decompose, which ICU decomposes first.
+
+    A character that stands for another one has that one's skeleton; a letter
+    with a caron looks like the one with a breve, where there is one.
+    """
     jvm = _jvm(None)
     checker = getattr(jvm.com.ibm.icu.text, "SpoofChecker$Builder")().build()
     gap = "\ue000"
@@ -89,7 +96,14 @@ def _icu_table() -> dict[int, str]:
         for c, s in zip(part, looks):
             if s and s != chr(c) and unicodedata.is_normalized("NFD", chr(c)):
                 found[c] = s
-    return found
+    for c in points:
+        parts = unicodedata.normalize("NFD", chr(c))
+        if parts != chr(c):
+            if len(parts) == 1:
+                found[c] = found.get(ord(parts), parts)
+            elif parts[1:] == CARON and len(breve := unicodedata.normalize("NFC", parts[0] + BREVE)) == 1:
+                found[c] = breve
+    return found | CEDILLAS
 
 
 def confusables_from_text(spark: SparkSession, path: str) -> DataFrame:

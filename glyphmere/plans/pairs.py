@@ -111,8 +111,9 @@ def score(df: DataFrame, a: str = "a", b: str = "b", cfg: Config = Config(), gat
         if cfg.norm_ops:
             norm = df.sparkSession.range(1).select(normalized(F.lit(query), cfg.norm_ops)).first()[0]
             skeleton = F.when(F.col("__identical") | F.col("__same"), skeleton).otherwise(F.lit(table.skeleton(norm)))
-    if gate:
-        out = out.where(may_emit(F.col("__x"), F.col("__y"), cfg, skeleton))
+    if gate:  # the random column keeps Catalyst from pushing the gate, and with it copies of all it reads, below
+        out = out.withColumn("__once", F.rand(0))
+        out = out.where((F.col("__once") >= 0) & may_emit(F.col("__x"), F.col("__y"), cfg, skeleton))
     out = panel(out, F.col("__x"), F.col("__y"), cfg.computed, cfg.sources, skeleton)
     if cfg.typosquat:
         label, reason = V.classified(F.col("__identical"), F.col("__same"), F.col("__x"), F.col("__y"), F.col("damerau"), F.col("confusable_only"), F.col("keyboard_distance"))

@@ -151,13 +151,31 @@ def keyboard_distance(spark, d):
     return out.withColumn("keyboard_distance", F.round("keyboard_distance", 5))
 
 
-@query("""WITH pairs AS (SELECT DISTINCT p_name AS a, regexp_replace(p_name, '[l]', '1') AS b FROM part WHERE p_name LIKE '%l%')
-SELECT a, b, CAST(1 AS BIGINT) AS uts39_confusable_count FROM pairs""")
+@query("""SELECT DISTINCT p_name AS a, translate(p_name, 'lo', '10') AS b, CAST(length(p_name) - length(translate(p_name, 'l', '')) AS BIGINT) AS uts39_confusable_count FROM part""")
 def confusable_count(spark, d):
-    pairs = _t(spark, d, "part").where("p_name like '%l%'").select(F.col("p_name").alias("a"), F.expr("concat(substring_index(p_name, 'l', 1), '1', substring(p_name, instr(p_name, 'l') + 1))").alias("b")).distinct()
+    """l and 1 look alike, o and 0 don't."""
+    pairs = _t(spark, d, "part").select(F.col("p_name").alias("a"), F.translate("p_name", "lo", "10").alias("b")).distinct()
     return score(pairs, cfg=Config(fields="uts39_confusable_count"))
 
 
+@query("""WITH pairs AS (SELECT DISTINCT p_name AS a, translate(p_name, 'ae', 'qw') AS b, length(p_name) - length(translate(p_name, 'a', '')) AS n, length(p_name) - length(translate(p_name, 'e', '')) AS m FROM part)
+SELECT a, b, round(CASE WHEN n + m = 0 THEN 0 ELSE (n * sqrt(0.0625 + 1) + m) / (n + m) / 11.543396 END, 5) AS keyboard_distance FROM pairs""")
+def keyboard_distance_mean(spark, d):
+    """Several substitutions in a name: the mean of their distances."""
+    pairs = _t(spark, d, "part").select(F.col("p_name").alias("a"), F.translate("p_name", "ae", "qw").alias("b")).distinct()
+    return score(pairs, cfg=Config(fields="keyboard_distance")).withColumn("keyboard_distance", F.round("keyboard_distance", 5))
+
+
+_OTHER = "translate(replace(replace(p_name, 'b', '\u00e7'), 'd', '\uf900'), 'aeopcxgh', '\u0430\u0435\u043e\u0440\u0441\u0445\u011b\u2126')"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT {_OTHER} AS name FROM part)
+SELECT name, {_sk("replace(translate(name, '\u0430\u0435\u043e\u0440\u0441\u0445\u011b\u2126\uf900', 'aeopcx\u0115\u03a9\u8c48'), '\u00e7', 'c\u0326')")} AS skeleton FROM n""")
+def skeleton_other(spark, d):
+    """Skeletons of names with look-alikes beyond ASCII, composed letters and characters that stand for others."""
+    return _t(spark, d, "part").select(F.expr(_OTHER).alias("name")).distinct().withColumn("skeleton", S.skeleton(F.col("name")))
+
+
 @query("""SELECT DISTINCT a, b, CAST(CASE WHEN a = b THEN 0 WHEN regexp_matches(a, '[bdf-npq-z]') AND regexp_matches(a, '[aeopc]') AND regexp_matches(b, '[a-zA-Z]') THEN 4 ELSE 1 END AS BIGINT) AS script_restriction
 FROM (SELECT replace(p_name, ' ', '-') AS a, translate(replace(p_name, ' ', '-'), 'aeopc', 'аеорс') AS b FROM part)""")
 def script_restriction(spark, d):
@@ -278,10 +296,12 @@ def topn_per_query(spark, d):
     return _near(spark, d, top=3)
 
 
-@query("SELECT * FROM (VALUES (48, 'O', 'uts39'), (49, 'l', 'uts39'), (224, 'a', 'flowcrypt')) t(cp, skeleton, source)")
+@query("""WITH base AS (SELECT ascii(n_name) AS cp, min(n_name) AS skeleton FROM nation GROUP BY 1), more AS (SELECT ascii(upper(p_name)) AS cp, min(p_name) AS skeleton FROM part GROUP BY 1)
+SELECT cp, skeleton, 'uts39' AS source FROM base UNION ALL SELECT cp, skeleton, 'flowcrypt' FROM more WHERE cp NOT IN (SELECT cp FROM base)""")
 def confusables_merge(spark, d):
-    base = spark.createDataFrame([(48, "O"), (49, "l")], "cp int, skeleton string")
-    return merged_tables(base, spark.createDataFrame([(49, "i"), (224, "a")], "cp int, skeleton string"))
+    base = _t(spark, d, "nation").groupBy(F.ascii("n_name").alias("cp")).agg(F.min("n_name").alias("skeleton"))
+    more = _t(spark, d, "part").groupBy(F.ascii(F.upper("p_name")).alias("cp")).agg(F.min("p_name").alias("skeleton"))
+    return merged_tables(base, more)
 
 
 # ---- evaluation
@@ -317,6 +337,24 @@ def missed_pairs(spark, d):
     return E.missed(_labelled(spark, d), _hits(spark, d)).select("input", "match", "technique")
 
 
+_CHANGED = f"{_LABELLED}, every AS (SELECT input, match FROM labelled UNION SELECT translate(match[1], 'abcdefghijklmnopqrstuvwxyz', 'bcdefghijklmnopqrstuvwxyza') || match[2:], match FROM n UNION SELECT translate(match, 'lo', '10'), match FROM n)"
+
+
+@query(f"""WITH RECURSIVE {_CHANGED}, {_osa('every', 'input', 'match')}
+SELECT input, match, CASE WHEN input = match THEN 'The strings are identical.' WHEN {_sk('input')} = {_sk('match')} THEN 'Strings differ but share a confusable skeleton (visual lookalike).'
+  WHEN d = 1 AND length(input) = length(match) AND len(list_filter(range(1, length(match) + 1), lambda i: input[i] <> match[i])) = 1 THEN '1 Damerau edit.' WHEN d <= 1 THEN '1 Damerau edit. Keyboard distance 0 (no far-key substitutions).'
+  WHEN {_combo('input', 'match')} THEN 'One name is the other plus a delimited affix (possible combosquat).' ELSE 'No typosquat signal (damerau > 1 and not confusable-only).' END AS reason
+FROM every JOIN osa ON input = x AND match = y""")
+def typosquat_reason(spark, d):
+    """Why pairs have their class: swaps, insertions, substitutions, look-alikes, affixes, others."""
+    n = _t(spark, d, "part").select(F.replace("p_name", F.lit(" "), F.lit("")).alias("match")).distinct()
+    next_letter = F.concat(F.translate(F.substring("match", 1, 1), "abcdefghijklmnopqrstuvwxyz", "bcdefghijklmnopqrstuvwxyza"), F.expr("substring(match, 2)"))
+    pairs = _labelled(spark, d).select("input", "match").union(n.select(next_letter, "match")).union(n.select(F.translate("match", "lo", "10"), "match")).distinct()
+    out = score(pairs, "input", "match", Config(fields="damerau,confusable_only,keyboard_distance"))
+    _, reason = V.classified(F.col("input") == F.col("match"), F.lit(False), F.col("input"), F.col("match"), F.col("damerau"), F.col("confusable_only"), F.col("keyboard_distance"))
+    return out.select("input", "match", reason.alias("reason"))
+
+
 @query(f"WITH RECURSIVE {_HITS} SELECT classification, count(*) AS n FROM hits GROUP BY classification")
 def class_histogram(spark, d):
     return E.histogram(_hits(spark, d))
@@ -340,6 +378,7 @@ def full_panel(spark, d):
     return score(pairs)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_HITS} SELECT count(*) AS rows, CAST(CAST(coalesce(sum(CAST(('0x' || md5(input || chr(9) || match || chr(9) || technique || chr(9) || classification)[:15]) AS BIGINT)), 0) AS HUGEINT) AS VARCHAR) AS digest FROM hits""")
 def result_digest(spark, d):
-    return E.digest(_hits(spark, d))
+    hits = _hits(spark, d).select("input", "match", "classification").join(_labelled(spark, d), ["input", "match"])
+    return E.digest(hits.select("input", "match", "technique", "classification"))

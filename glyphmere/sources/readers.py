@@ -13,11 +13,11 @@ def names(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(trimmed(F.col("value")).alias("value"), F.monotonically_increasing_id().alias("ord")).where("value <> ''")
 
 
-def split_pairs(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(a, b) of lines cut at the first tab or comma, and (error, line) of those without one; empty lines are skipped."""
+def split_pairs(lines: DataFrame, col: str = "value", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of lines cut at the first tab or comma, and (error, line) of those without one; empty lines are skipped. Columns ``keep`` stay."""
     cut = lines.where(F.col(col) != "").withColumn("__p", F.split(F.col(col), "[\t,]", 2))
-    good = cut.where(F.size("__p") == 2).select(F.col("__p")[0].alias("a"), F.col("__p")[1].alias("b"))
-    bad = cut.where(F.size("__p") < 2).select(F.lit("malformed line").alias("error"), F.col(col).alias("line"))
+    good = cut.where(F.size("__p") == 2).select(F.col("__p")[0].alias("a"), F.col("__p")[1].alias("b"), *keep)
+    bad = cut.where(F.size("__p") < 2).select(F.lit("malformed line").alias("error"), F.col(col).alias("line"), *keep)
     return good, bad
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import glyphmere
 from glyphmere.plans.axes import AXES
@@ -11,20 +12,16 @@ from glyphmere.plans.axes import AXES
 OK, NO_MATCH, USAGE = 0, 1, 2
 
 
-def json_lines(df: DataFrame) -> DataFrame:
-    """value: each row as a JSON object, columns in order, undefined values as null."""
-    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+def json_lines(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """value: each row as a JSON object, columns in order, doubles with four digits, undefined values as null; columns ``keep`` stay beside it."""
+    shown = [F.col(f.name).cast("decimal(38,4)").alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema if f.name not in keep]
+    return df.select(*keep, F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     json_lines(df).write.mode(mode).text(path)
 
 
-def rendered(c: Column, kind: str) -> Column:
-    """Doubles with four digits, undefined values as n/a."""
-    return F.coalesce(F.format_string("%.4f", c) if kind == "double" else c.cast("string"), F.lit("n/a"))
-
-
 def table(row: Row, shown: list[str], label: str, message: str, norms: tuple[str, str] | None = None) -> str:
     lines = [f"{'normalized':<24} {norms[0]} / {norms[1]}"] if norms else []
     for k in shown:
@@ -34,11 +31,6 @@ def table(row: Row, shown: list[str], label: str, message: str, norms: tuple[str
     return "\n".join([*lines, "", f"[{label}] {message}"])
 
 
-def status(df: DataFrame, filtered: bool) -> int:
-    """0 if rows were kept or nothing was filtered, else 1."""
-    return NO_MATCH if filtered and df.isEmpty() else OK
-
-
 def provenance(spark: SparkSession) -> DataFrame:
     icu = spark.sparkContext._jvm.com.ibm.icu
     return spark.createDataFrame([("glyphmere", glyphmere.__version__), ("spark", spark.version), ("icu", icu.util.VersionInfo.ICU_VERSION.toString()), ("unicode", icu.lang.UCharacter.getUnicodeVersion().toString())], "part string, version string")

@@ -2,7 +2,9 @@
 
 import io
 import itertools
+import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,15 +128,66 @@ def test_plan_scores_once_and_gates_first(spark):
 
 
 def test_command_line(spark, tmp_path):
-    out = io.StringIO()
-    assert cli.main(["-s", "-t", "1"], spark, out, ["a,b\n", "abc\n", "\n", "kitten\tsitting,x\n"]) == 0
-    assert len(out.getvalue().splitlines()) == 2 and '"error":"malformed line"' in out.getvalue()
     (tmp_path / "names.txt").write_text("lodahs\r\n\n  xylophone \n")
     assert cli.main(["--string", "lodash", "--list", str(tmp_path / "names.txt"), "--typosquat"], spark, io.StringIO()) == 0
     assert cli.main(["--string", "zzz", "--list", str(tmp_path / "names.txt"), "-t", "0"], spark, io.StringIO()) == 1
+    assert cli.main(["--string", "zzz", "--list", str(tmp_path / "nowhere.txt")], spark, io.StringIO()) == 2
     assert cli.main(["kitten", "sitting", "-t", "2"], spark, io.StringIO()) == 1
-    for bad in (["a"], ["--list", "x"], ["--top", "0", "a", "b"], ["--pypi", "--pypi", "a", "b"], ["-q", "a"], ["--typosquat", "-t", "1", "a", "b"], ["-s", "a"]):
+    for bad in (["a"], ["--list", "x"], ["--top", "0", "a", "b"], ["--pypi", "--pypi", "a", "b"], ["-q", "a"], ["--typosquat", "-t", "1", "a", "b"], ["-s", "a"], ["-n", str(tmp_path / "nowhere.json"), "a", "b"]):
         assert cli.main(bad, spark) == 2
+    (tmp_path / "rules.json").write_text('[["lower"], ["map", "_", "-"]]')
+    out = io.StringIO()
+    assert cli.main(["-n", str(tmp_path / "rules.json"), "Foo_Bar", "foo-bar"], spark, out) == 0 and "SAME PROJECT" in out.getvalue()
+    out = io.StringIO()
+    assert cli.main(["-v"], spark, out) == 0 and "unicode" in out.getvalue()
+    assert cli.main(["-h"], spark, out) == 0
+
+
+def test_lines_are_answered_in_their_order_as_they_come(spark, monkeypatch):
+    monkeypatch.setattr(cli, "BATCH", 3)
+    taken, out = [], io.StringIO()
+
+    def lines():
+        for x in ["lodash,1odash", "abc", "", "a,b,c", "xyz", "kitten\tsitting", "q,q"]:
+            taken.append((x, len(out.getvalue().splitlines())))
+            yield x + "\n"
+
+    assert cli.main(["-s", "-t", "3"], spark, out, lines()) == 0
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [r.get("line") or f"{r['a']},{r['b']}" for r in got] == ["lodash,1odash", "abc", "a,b,c", "xyz", "kitten,sitting", "q,q"]
+    assert dict(taken)["a,b,c"] == 2  # the first batch was answered before
+    assert '"keyboard_distance":0.7776' in out.getvalue() and '"keyboard_distance":null' in out.getvalue() or '"keyboard_distance":0.0000' in out.getvalue()
+    assert cli.main(["-s", "-t", "0"], spark, io.StringIO(), ["a,b", "malformed"]) == 1
+
+
+def test_functions_in_sql(spark):
+    from glyphmere.functions.strings import register
+
+    register(spark)
+    r = spark.sql("SELECT osa_damerau('ca', 'abc') AS d, osa_aligned('lodash', '1odash').keyboard_distance AS k, skeleton('pаypal') AS s, restriction_level('pаypal') AS l").first()
+    assert (r.d, round(r.k, 4), r.s, r.l) == (3, 0.7776, "paypal", 4)
+
+
+def test_composed_and_compatibility_characters(spark):
+    table = confusables()
+    fixed = {"\u00e7": "c\u0326", "\u011b": "\u0115", "\u01e7": "\u011f", "\uf900": "\u8c48", "\u2126": "\u03a9", "\u212a": "K", "\u0387": "\u00b7", "\u00e9": "\u00e9", "\u010d": "\u010d", "\u00cd": "\u00cd"}  # fixed values
+    assert {c: table.of(c) for c in fixed} == fixed
+    names = ["\u00e7a", "\u01ceb", "\uf900m", "m1l0|%", "vvcl", "\uff4d\uff4f\uff43", "", "\ufb01\U0001d5c6x"]
+    for sources in (Sources(), Sources(flowcrypt=True, digraph=True)):
+        got = frame(spark, [(x,) for x in names], "s string").select(S.skeleton(F.col("s"), sources)).collect()
+        assert [r[0] for r in got] == [confusables(sources).skeleton(x) for x in names]
+
+
+def test_long_strings():
+    from glyphmere.functions import alignment
+
+    a = "ab" * 20_000
+    assert alignment.distances([a, "x"], [a[:35_000] + "zz", ""]).tolist() == [5_000, 1]
+    rng = np.random.default_rng(0)
+    pairs = [("".join(rng.choice(list("abc"), rng.integers(0, 9))), "".join(rng.choice(list("abc"), rng.integers(0, 9)))) for _ in range(300)]
+    d = alignment.distances(*map(list, zip(*pairs)))
+    x, y = alignment.codes([p for p, _ in pairs]), alignment.codes([q for _, q in pairs])
+    assert d.tolist() == alignment.matrices(x[0], y[0])[np.arange(300), x[1], y[1]].tolist()
 
 
 def test_stream_equals_batch(spark, tmp_path):
