@@ -59,18 +59,22 @@ def _replaced(s: Column, single: dict[str, str]) -> Column:
     return F.translate(s, "".join(single), "".join(single.values())) if single else s
 
 
-def _nonnull(a: pd.Series, b: pd.Series) -> np.ndarray:
-    return (a.notna() & b.notna()).to_numpy()
+def _present(*columns: pd.Series) -> np.ndarray:
+    return np.logical_and.reduce([c.notna().to_numpy() for c in columns])
+
+
+def _longs(values: np.ndarray, ok: np.ndarray) -> pd.Series:
+    """``values`` where ``ok`` holds, else null."""
+    full = np.zeros(len(ok), np.int64)
+    full[ok] = values
+    return pd.Series(pd.arrays.IntegerArray(full, ~ok))
 
 
 @functools.lru_cache(maxsize=1)
 def _damerau_udf():
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        ok = _nonnull(a, b)
-        out = pd.array([pd.NA] * len(a), "Int64")
-        if ok.any():
-            out[ok] = alignment.distances(a[ok].tolist(), b[ok].tolist())
-        return pd.Series(out)
+        ok = _present(a, b)
+        return _longs(alignment.distances(a[ok].tolist(), b[ok].tolist()), ok)
 
     return F.pandas_udf(run, "long").asNondeterministic()
 
@@ -84,25 +88,28 @@ ALIGNED = T.StructType().add("damerau", "long").add("uts39_confusable_count", "l
 
 
 @functools.lru_cache(maxsize=16)
-def _aligned_udf(sources: Sources):
+def _aligned_udf(sources: Sources, skeletons: bool):
     table = confusables(sources)
 
-    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        ok = _nonnull(a, b)
-        out = pd.DataFrame({"damerau": pd.array([pd.NA] * len(a), "Int64"), "uts39_confusable_count": pd.array([pd.NA] * len(a), "Int64"), "keyboard_distance": pd.array([pd.NA] * len(a), "Float64")})
-        if ok.any():
-            dist, count, keys = alignment.aligned(a[ok].tolist(), b[ok].tolist(), table)
-            out.loc[ok, "damerau"], out.loc[ok, "uts39_confusable_count"] = dist, count
-            out.loc[ok, "keyboard_distance"] = pd.array(keys, "Float64")
-            out["keyboard_distance"] = out["keyboard_distance"].astype(object).where(lambda c: c.map(lambda v: v is not pd.NA and v == v), None).astype("Float64")
-        return out
+    def told(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        ok = _present(a, b)
+        dist, count, keys = alignment.aligned(a[ok].tolist(), b[ok].tolist(), table)
+        full = np.full(len(ok), np.nan)
+        full[ok] = keys
+        return pd.DataFrame({"damerau": _longs(dist, ok), "uts39_confusable_count": _longs(count, ok), "keyboard_distance": pd.arrays.FloatingArray(np.nan_to_num(full), np.isnan(full))})
+
+    def both(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        ok = _present(x, y)
+        return told(a, b).assign(skeleton_damerau=_longs(alignment.distances(x[ok].tolist(), y[ok].tolist()), ok))
 
-    return F.pandas_udf(run, ALIGNED).asNondeterministic()
+    if skeletons:
+        return F.pandas_udf(both, T.StructType(list(ALIGNED.fields)).add("skeleton_damerau", "long")).asNondeterministic()
+    return F.pandas_udf(told, ALIGNED).asNondeterministic()
 
 
-def aligned(a: Column, b: Column, sources: Sources = Sources()) -> Column:
-    """Struct of the distance, confusable substitutions and keyboard distance of one alignment."""
-    return _aligned_udf(sources)(a, b)
+def aligned(a: Column, b: Column, sources: Sources = Sources(), skeletons: tuple[Column, Column] | None = None) -> Column:
+    """Struct of the distance, confusable substitutions and keyboard distance of one alignment, and with ``skeletons`` their distance."""
+    return _aligned_udf(sources, skeletons is not None)(a, b, *(skeletons or ()))
 
 
 @functools.lru_cache(maxsize=1)
@@ -141,6 +148,6 @@ def register(spark, sources: Sources = Sources()) -> None:
     """Makes damerau, aligned, skeleton, restriction_level callable from SQL."""
     table, levels = confusables(sources), scripts()
     spark.udf.register("osa_damerau", _damerau_udf())
-    spark.udf.register("osa_aligned", _aligned_udf(sources))
+    spark.udf.register("osa_aligned", _aligned_udf(sources, False))
     spark.udf.register("skeleton", F.pandas_udf(lambda s: s.map(table.skeleton, na_action="ignore"), "string"))
     spark.udf.register("restriction_level", F.pandas_udf(lambda s: s.map(levels.level, na_action="ignore").astype("Int64"), "long"))

@@ -66,7 +66,7 @@ def metric_value(key: str) -> Column:
 
 
 def panel(df: DataFrame, a: Column, b: Column, fields: list[str], sources: Sources = Sources(), skeleton_a: Column | None = None) -> DataFrame:
-    """``df`` with the wanted axes appended. Only what they need is computed; pairs go to Python once for each string family.
+    """``df`` with the wanted axes appended. Only what they need is computed; pairs go to Python once.
 
     ``skeleton_a`` is that of ``a`` where it is known.
     """
@@ -74,11 +74,12 @@ def panel(df: DataFrame, a: Column, b: Column, fields: list[str], sources: Sourc
     out = df.withColumns({"__a": a, "__b": b})
     if "sk" in needs:
         out = out.withColumns({"__ska": S.skeleton(F.col("__a"), sources) if skeleton_a is None else skeleton_a, "__skb": S.skeleton(F.col("__b"), sources)})
+    both = {"al", "skd"} <= needs  # in one visit to Python
     if "al" in needs:
-        only = {k for k in fields if "al" in AXES[k].needs} <= {"damerau", "uts39_skeleton_delta"}
-        made = F.struct(S.damerau(F.col("__a"), F.col("__b")).alias("damerau")) if only else S.aligned(F.col("__a"), F.col("__b"), sources)
+        only = {k for k in fields if "al" in AXES[k].needs} <= {"damerau", "uts39_skeleton_delta"} and not both
+        made = F.struct(S.damerau(_c("a"), _c("b")).alias("damerau")) if only else S.aligned(_c("a"), _c("b"), sources, (_c("ska"), _c("skb")) if both else None)
         out = out.withColumn("__al", made)
     if "skd" in needs:
-        out = out.withColumn("__skd", S.damerau(F.col("__ska"), F.col("__skb")))
+        out = out.withColumn("__skd", _c("al")["skeleton_damerau"] if both else S.damerau(_c("ska"), _c("skb")))
     out = out.withColumns({k: AXES[k].make() for k in fields})
     return out.drop("__a", "__b", "__ska", "__skb", "__al", "__skd")

@@ -154,47 +154,89 @@ def _parts(low: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(heads, tails, F.split(low, r"[\-_./]", -1)), lambda p: (F.length(p) >= 3) & (p != low)))
 
 
-def candidates(left: DataFrame, right: DataFrame, cfg: Config, a: str, b: str, depth: int | None = None) -> DataFrame:
-    """Pairs (input, match) that can be kept, by equi-joins on keys that every such pair shares.
+def _tagged(tag: str, keys: Column) -> Column:
+    return F.transform(keys, lambda k: F.concat(F.lit(tag), k))
 
-    Typosquats: a common deletion (one edit), a common skeleton, or one name as a
-    delimited part of the other. With a threshold of k edits (at most 2): common
-    deletions of up to k characters, of the skeletons where the metric is on them.
-    Keys are exploded before the shuffle and pairs deduplicated after it.
-    """
-    xs, ys = left.select(F.col(a).alias("input"), F.col(f"__x_{a}").alias("x")), right.select(F.col(b).alias("match"), F.col(f"__x_{b}").alias("y"))
 
-    def on(kx: Column, ky: Column) -> DataFrame:
-        return xs.select("input", F.explode(kx).alias("k")).join(ys.select("match", F.explode(ky).alias("k")), "k").select("input", "match")
+def _pieces(size: Column, k: int) -> Column:
+    """(n, at, len): the ``k + 1`` pieces, as even as can be, that strings of a length are cut into."""
+    short, longer = F.floor(size / (k + 1)), size % (k + 1)
+    plain = k + 1 - longer  # so many have the shorter length
+    return F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.struct(i.alias("n"), (i * short + F.greatest(F.lit(0), i - plain)).cast("int").alias("at"), (short + F.when(i >= plain, 1).otherwise(0)).cast("int").alias("len")))
+
+
+def _piece_key(size: Column, piece: Column, text: Column) -> Column:
+    return F.concat_ws("|", size.cast("string"), piece["n"].cast("string"), text)
+
+
+def piece_keys(s: Column, k: int) -> Column:
+    """A string's ``k + 1`` pieces: of another within ``k`` edits, one is among its ``part_keys``."""
+    n = F.length(s)
+    return F.transform(_pieces(n, k), lambda p: _piece_key(n, p, F.substring(s, p["at"] + 1, p["len"])))
+
+
+def part_keys(s: Column, k: int) -> Column:
+    """Parts of a string that can be pieces of strings within ``k`` edits: of lengths, and at places, up to ``k`` off."""
+    n = F.length(s)
+
+    def at_shifts(size: Column, p: Column) -> Column:
+        starts = F.filter(F.transform(F.sequence(F.lit(-k), F.lit(k)), lambda d: p["at"] + d), lambda a: (a >= 0) & (a + p["len"] <= n))
+        return F.transform(starts, lambda a: _piece_key(size, p, F.substring(s, a + 1, p["len"])))
 
-    x, y = F.col("x"), F.col("y")
+    sizes = F.sequence(F.greatest(F.lit(0), n - k), n + k)
+    return F.array_distinct(F.flatten(F.transform(sizes, lambda size: F.flatten(F.transform(_pieces(size, k), lambda p: at_shifts(size, p))))))
+
+
+def _keys(s: Column, cfg: Config, left: bool) -> Column:
+    """Keys of a name, of which every pair that can be kept shares one.
+
+    Typosquats: a common deletion (one edit), a common skeleton, or one name as a
+    delimited part of the other. With a threshold of k edits: common deletions of
+    up to k characters for k below 3, else pieces of one name in the other (of
+    skeletons where the metric is on them). A swap is two plain edits.
+    """
     if not cfg.typosquat:
+        text = S.skeleton(s, cfg.sources) if cfg.by.startswith("skeleton") else s
         k = int(cfg.threshold)
-        if cfg.by.startswith("skeleton"):
-            x, y = S.skeleton(x, cfg.sources), S.skeleton(y, cfg.sources)
-        return on(deletions(x, k), deletions(y, k)).distinct()
-    lx, ly = F.lower(x), F.lower(y)
-    found = on(deletions(x, 1), deletions(y, 1))
-    found = found.union(on(F.array(S.skeleton(x, cfg.sources)), F.array(S.skeleton(y, cfg.sources))))
-    found = found.union(on(F.filter(F.array(lx), lambda s: F.length(s) >= 3), _parts(ly))).union(on(_parts(lx), F.filter(F.array(ly), lambda s: F.length(s) >= 3)))
-    return found.distinct()
+        if k < 3:
+            return deletions(text, k)
+        edits = 2 * k if cfg.by.endswith("damerau") else k
+        return part_keys(text, edits) if left else piece_keys(text, edits)
+    low = F.lower(s)
+    whole = F.filter(F.array(low), lambda x: F.length(x) >= 3)
+    first, second = (whole, _parts(low)) if left else (_parts(low), whole)
+    return F.concat(_tagged("d", deletions(s, 1)), _tagged("s", F.array(S.skeleton(s, cfg.sources))), _tagged("a", first), _tagged("b", second))
+
+
+def candidates(left: DataFrame, right: DataFrame, cfg: Config, a: str, b: str) -> DataFrame:
+    """Pairs (``a``, ``b``) of distinct names that can be kept: one equi-join on keys that every such pair shares.
+
+    With rewrite rules keys are of names as they stand and as rewritten. Keys are
+    exploded once a side, before the shuffle, and pairs deduplicated after it. The
+    join is not a broadcast: a side's keys are many times its size.
+    """
+
+    def keyed(df: DataFrame, name: str, is_left: bool) -> DataFrame:
+        keys = _keys(F.col(name), cfg, is_left)
+        if cfg.norm_ops:
+            keys = F.concat(_tagged("0", keys), _tagged("1", _keys(F.col("__norm"), cfg, is_left)))
+            df = df.withColumns({"__norm": normalized(F.col(name), cfg.norm_ops), "__once": F.rand(0)}).where("__once >= 0")
+        return df.select(name, F.explode(keys).alias("__k"))
+
+    return keyed(left, a, True).hint("merge").join(keyed(right, b, False), "__k").select(a, b).distinct()
 
 
 def similarity_join(left: DataFrame, right: DataFrame, cfg: Config, a: str = "input", b: str = "match", top: int | None = None) -> DataFrame:
     """Every name of ``left`` against every one of ``right``: the pairs that scoring keeps, without comparing all.
 
-    Needs the typosquat profile, or an edit metric with a threshold of at most 2.
-    ``top`` keeps the closest of each input (ties by name).
+    Needs the typosquat profile, or an edit metric with a threshold: other axes
+    don't tell which names can't be near. Keys of a name grow with the third power
+    of the threshold. ``top`` keeps the closest of each input (ties by name).
     """
-    if not cfg.typosquat and (cfg.threshold is None or cfg.by not in EDIT_METRICS or not 0 <= cfg.threshold < 3):
-        raise ValueError("a similarity join needs typosquat, or an edit metric with a threshold below 3")
-    xs = left.select(F.col(a)).distinct().withColumn(f"__x_{a}", normalized(F.col(a), cfg.norm_ops))
-    ys = right.select(F.col(b)).distinct().withColumn(f"__x_{b}", normalized(F.col(b), cfg.norm_ops))
-    pairs = candidates(xs, ys, cfg, a, b)
-    if cfg.norm_ops:  # pairs that are identical, or one project, are scored as they stand
-        plain = candidates(xs.withColumn(f"__x_{a}", F.col(a)), ys.withColumn(f"__x_{b}", F.col(b)), cfg, a, b)
-        pairs = pairs.union(plain).distinct()
-    out = score(pairs.withColumnsRenamed({"input": a, "match": b}), a, b, replace(cfg, sort=top is not None), gate=True)
+    if not cfg.typosquat and (cfg.threshold is None or cfg.by not in EDIT_METRICS or not 0 <= cfg.threshold < 100):
+        raise ValueError("a similarity join needs typosquat, or an edit metric with a threshold from 0 to 99")
+    pairs = candidates(left.select(a).distinct(), right.select(b).distinct(), cfg, a, b)
+    out = score(pairs, a, b, replace(cfg, sort=top is not None), gate=True)
     if top is None:
         return out
     nth = F.row_number().over(Window.partitionBy(a).orderBy("__metric", b))

@@ -106,7 +106,7 @@ def test_gate_keeps_what_is_kept_without_it(spark):
         assert rows[0] == rows[1], (cfg, q)
 
 
-@pytest.mark.parametrize("cfg", [Config(typosquat=True), Config(typosquat=True, norm_ops=N.PYPI), Config(metric="damerau", threshold=2.0, fields="damerau"), Config(metric="skeleton_levenshtein", threshold=1.0, fields="skeleton_levenshtein")])
+@pytest.mark.parametrize("cfg", [Config(typosquat=True), Config(typosquat=True, norm_ops=N.PYPI), Config(metric="damerau", threshold=2.0, fields="damerau"), Config(metric="skeleton_levenshtein", threshold=1.0, fields="skeleton_levenshtein"), Config(metric="levenshtein", threshold=4.0, fields="levenshtein"), Config(metric="damerau", threshold=3.0, fields="damerau", norm_ops=N.PYPI)])
 def test_join_is_every_pair(spark, cfg):
     x, y = frame(spark, [(n,) for n in NAMES], "input string"), frame(spark, [(n,) for n in NAMES], "match string")
     every = frame(spark, list(itertools.product(NAMES, NAMES)), "input string, match string")
@@ -114,6 +114,14 @@ def test_join_is_every_pair(spark, cfg):
     assert sorted(map(repr, similarity_join(x, y, cfg).select(want.columns).collect())) == sorted(map(repr, want.collect()))
 
 
+def test_join_is_one_shuffle_a_side(spark):
+    x, y = frame(spark, [(n,) for n in NAMES], "input string"), frame(spark, [(n,) for n in NAMES], "match string")
+    for cfg in (Config(typosquat=True), Config(typosquat=True, norm_ops=N.PYPI)):
+        plan = similarity_join(x, y, cfg)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 1 and "Broadcast" not in plan and plan.count("Exchange ") <= 5
+        assert plan.count("ArrowEvalPython") == 1  # the alignment, of what the gate lets through
+
+
 def test_top_is_stable(spark):
     names = frame(spark, [("first", 1), ("secnd", 2), ("  x ", 3), ("", 4), (" ", 5)], "value string, ord long")
     got = watchlist(names, "x", Config(metric="levenshtein", fields="levenshtein", top=3)).collect()
