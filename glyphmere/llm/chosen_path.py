@@ -3,17 +3,21 @@
 A document is the set of its 5-word shingles. Its 64 min-hashes are sampled
 tokens, shared by two sets with a probability of their Jaccard similarity. Each
 run splits the sets recursively: a node of the tree picks two of the 64 by its
-own path, and a set goes on to the child named by its token there. Two sets of
-similarity s both reach some common leaf of depth 5 with probability q(5), where
-q(d) = 1 - (1 - s q(d-1))**2; runs are repeated until the chance of missing a
-pair at the threshold is below 1 - recall.
-
-Equal sets are one class from the start. Sets in one leaf become candidates (a
-star of links, not all pairs); the connected candidates are brought together and
-all pairs of them are compared exactly, by an index of their shingles, so no link
-between different texts is lost, and none is assumed. Groups larger than
-``BLOCK`` are dealt into parts of half that size, and each two parts are a block;
-each pair is counted in one block only.
+own path, and a set goes on to the child named by its token there. Sets that are
+alone in a bucket are done. Buckets of up to ``SMALL`` sets are compared pair by
+pair there and then (pairs whose 64 tokens agree as two sets at the threshold do,
+but for six standard deviations, are candidates); larger ones are split on, to
+``DEPTH`` levels. What is still larger then becomes candidates by a star of
+links. Two sets of similarity s meet at depth d with probability q(d), where
+q(d) = 1 - (1 - s q(d-1))**2, or sooner; runs are repeated until the chance of
+missing a pair at the threshold is below 1 - recall.
+
+Equal sets are one class from the start. The connected candidates are brought
+together and all pairs of them are compared exactly, by an index of their
+shingles, so no link between different texts is lost, and none is assumed. Groups
+larger than ``BLOCK`` are dealt into parts of half that size, and each two parts
+are a block; each pair is counted in one block only. Work in a group grows with
+the number of its pairs, which are what is counted.
 
 Texts under five words have one shingle, of all their words. Null text and text
 without words have the empty set, are equal to each other and like nothing else.
@@ -31,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmere.llm._common import as_bytes, parts_of, placed, slices, stored
+from glyphmere.llm._common import as_bytes, forget, parts_of, slices, stored
 from glyphmere.llm._shingles import mixed, set_key, shingle_sets
 from glyphmere.llm.components import components
 
 TOKENS, DEPTH = 64, 5
+#: Sets of a bucket that are compared with each other.
+SMALL = 16
 #: Texts compared in one task.
 BLOCK = 2_000
 _MULTIPLIERS = (mixed(np.arange(1, TOKENS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -62,76 +68,124 @@ def sampled_tokens(members: np.ndarray) -> np.ndarray:
     return out
 
 
-def leaves(tokens: np.ndarray, runs: int, depth: int = DEPTH) -> np.ndarray:
-    """Paths (sets, runs * 2**depth) that sets with these tokens (sets, 64) reach."""
-    out = []
-    for run in range(runs):
-        path = np.full((len(tokens), 1), mixed(np.array([run + 1], np.uint64))[0])
-        for _ in range(depth):
-            own = mixed(path)
-            first = own % np.uint64(TOKENS)
-            second = (first + np.uint64(1) + (own >> np.uint64(20)) % np.uint64(TOKENS - 1)) % np.uint64(TOKENS)
-            pick = np.concatenate([first, second], axis=1).astype(np.int64)
-            step = np.take_along_axis(tokens, pick, axis=1).astype(np.uint64) | pick.astype(np.uint64) << np.uint64(32)
-            path = mixed(np.concatenate([path, path], axis=1) ^ mixed(step))
-        out.append(path)
-    return np.concatenate(out, axis=1)
+def children(paths: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Paths (sets, 2) of the two children that each set (its tokens: a row) goes to from its node."""
+    own = mixed(paths)
+    first = own % np.uint64(TOKENS)
+    second = (first + np.uint64(1) + (own >> np.uint64(20)) % np.uint64(TOKENS - 1)) % np.uint64(TOKENS)
+    pick = np.stack([first, second], axis=1).astype(np.int64)
+    step = np.take_along_axis(tokens, pick, axis=1).astype(np.uint64) | pick.astype(np.uint64) << np.uint64(32)
+    return mixed(paths[:, None] ^ mixed(step))
 
 
-def sketched(df: DataFrame, runs: int, id_col: str, text_col: str) -> DataFrame:
-    """i, h (hash of the text), key (of the shingle set), paths (of sets that aren't empty) of every row."""
+def least_agreement(threshold: float) -> int:
+    """Tokens of ``TOKENS`` that two sets at the threshold share, less six standard deviations."""
+    return max(1, math.floor(TOKENS * threshold - 6 * math.sqrt(TOKENS * threshold * (1 - threshold))))
+
+
+def sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """i, h (hash of the text), key (of the shingle set), tokens (of sets that aren't empty) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", 8 << 20):
             sets = shingle_sets([t or b"" for t in as_bytes(batch.column("t"))])
-            tokens = np.stack([sampled_tokens(s) for s in sets]) if sets else np.zeros((0, TOKENS), np.uint32)
-            paths = leaves(tokens, runs)
-            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("h"), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([p.tobytes() if len(s) else None for p, s in zip(paths, sets)], pa.binary())], ["i", "h", "key", "paths"])
+            tokens = [sampled_tokens(s).tobytes() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("h"), pa.array([set_key(s) for s in sets], pa.int64()), pa.array(tokens, pa.binary())], ["i", "h", "key", "tokens"])
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(df[id_col].alias("i"), F.xxhash64(df[text_col]).alias("h"), df[text_col].alias("t"))
-    return rows.mapInArrow(run, f"i {kind}, h long, key long, paths binary")
+    return rows.mapInArrow(run, f"i {kind}, h long, key long, tokens binary")
+
+
+_ROW = "path long, key long, tokens binary"
+
+
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    tokens = np.frombuffer(b"".join(as_bytes(batch.column("tokens"))), np.uint32).reshape(-1, TOKENS)
+    return batch.column("path").to_numpy(), batch.column("key").to_numpy(), tokens
+
 
+def _batch(paths: np.ndarray, keys: np.ndarray, tokens: np.ndarray | None, least: np.ndarray | None = None) -> pa.RecordBatch:
+    """Sets in their buckets, or with ``least`` links."""
+    held = pa.nulls(len(keys), pa.binary()) if tokens is None else pa.array([t.tobytes() for t in tokens], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(paths), pa.array(keys), held, pa.nulls(len(keys), pa.int64()) if least is None else pa.array(least)], ["path", "key", "tokens", "b"])
 
-def candidate_links(classes: DataFrame) -> DataFrame:
-    """a, b: in each leaf, links of every class to the least. Leaves are dealt as sorted blocks of (path, class)."""
-    spark = classes.sparkSession
-    n = parts_of(spark)
-    spots = np.array(placed(spark, n))
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "paths", 8 << 20):
-            held = [(k, p) for k, p in zip(batch.column("key").to_pylist(), as_bytes(batch.column("paths"))) if p]
-            if not held:
+def _split(rows: DataFrame) -> DataFrame:
+    """Each set in both children of its node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "tokens", 4 << 20):
+            paths, keys, tokens = _arrays(batch)
+            twice = batch.column("tokens").take(pa.array(np.repeat(np.arange(len(keys)), 2)))
+            yield pa.RecordBatch.from_arrays([pa.array(children(paths.view(np.uint64), tokens).reshape(-1).view(np.int64)), pa.array(np.repeat(keys, 2)), twice], ["path", "key", "tokens"])
+
+    return rows.select("path", "key", "tokens").mapInArrow(run, _ROW)
+
+
+def bucket_rows(paths: np.ndarray, keys: np.ndarray, tokens: np.ndarray, agreement: int, last: bool) -> Iterator[pa.RecordBatch]:
+    """From whole buckets, sorted by path and key: links of small ones; sets of larger ones, or after the ``last`` split links to the least key."""
+    head = np.ones(len(paths), bool)
+    head[1:] = paths[1:] != paths[:-1]
+    start = np.flatnonzero(head)
+    size = np.diff(np.append(start, len(paths)))
+    nth, of = np.arange(len(paths)) - np.repeat(start, size), np.repeat(size, size)
+    for d in range(1, SMALL):
+        at = np.flatnonzero((nth >= d) & (of <= SMALL))
+        at = at[(tokens[at] == tokens[at - d]).sum(axis=1) >= agreement]
+        if len(at):
+            yield _batch(paths[at], keys[at], None, keys[at - d])
+    large = np.flatnonzero(of > SMALL)
+    if last:
+        large = large[nth[large] > 0]
+        yield _batch(paths[large], keys[large], None, keys[large - nth[large]])
+    else:
+        yield _batch(paths[large], keys[large], tokens[large])
+
+
+def _bucketed(rows: DataFrame, agreement: int, last: bool) -> DataFrame:
+    """Rows of ``bucket_rows`` of all buckets. A task holds one Arrow batch and the buckets that begin in it, of a large one only its first sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, large, least = None, None, 0
+        for batch in slices(batches, "tokens", 8 << 20):
+            paths, keys, tokens = _arrays(batch)
+            if large is not None:  # more of a bucket that is known to be large
+                n = int(np.searchsorted(paths, large, side="right"))
+                yield _batch(paths[:n], keys[:n], None, np.full(n, least)) if last else _batch(paths[:n], keys[:n], tokens[:n])
+                paths, keys, tokens = paths[n:], keys[n:], tokens[n:]
+                large = large if not len(paths) else None
+            if held is not None:
+                paths, keys, tokens = (np.concatenate(x) for x in zip(held, (paths, keys, tokens)))
+            if not len(paths):
                 continue
-            paths = np.concatenate([np.frombuffer(p, np.uint64) for _, p in held])
-            keys = np.repeat(np.array([k for k, _ in held], np.int64), len(held[0][1]) // 8)
-            part = (paths >> np.uint64(33)).astype(np.int64) % n
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(n + 1))
-            rows = [(int(spots[p]), paths[o].tobytes(), keys[o].tobytes()) for p in range(n) if len(o := order[cuts[p] : cuts[p + 1]])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["spot", "p", "k"])
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, k = [], []
-        for batch in batches:
-            p += [np.frombuffer(x, np.uint64) for x in as_bytes(batch.column("p"))]
-            k += [np.frombuffer(x, np.int64) for x in as_bytes(batch.column("k"))]
-        if not p:
-            return
-        path, key = np.concatenate(p), np.concatenate(k)
-        del p, k
-        order = np.lexsort((key, path))
-        path, key = path[order], key[order]
-        head = np.concatenate([[True], path[1:] != path[:-1]])
-        least = key[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
-        a, b = key[key != least], least[key != least]
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-        yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
-
-    return classes.select("key", "paths").mapInArrow(split, "spot long, p binary, k binary").repartition(n, "spot").mapInArrow(link, "a long, b long").distinct()
+            cut = int(np.searchsorted(paths, paths[-1]))
+            yield from bucket_rows(paths[:cut], keys[:cut], tokens[:cut], agreement, last)
+            held = (paths[cut:], keys[cut:], tokens[cut:])
+            if len(held[0]) > SMALL:
+                large, least = held[0][0], int(held[1][0])
+                yield from bucket_rows(*held, agreement, last)
+                held = None
+        if held is not None:
+            yield from bucket_rows(*held, agreement, last)
+
+    dealt = rows.repartition(parts_of(rows.sparkSession), "path").sortWithinPartitions("path", "key")
+    return dealt.mapInArrow(run, _ROW + ", b long")
+
+
+def candidate_links(classes: DataFrame, threshold: float, runs: int) -> DataFrame:
+    """a, b: candidates among classes (key, tokens), from ``runs`` trees."""
+    roots = [int(r) for r in mixed(np.arange(1, runs + 1, dtype=np.uint64)).view(np.int64)]
+    live = classes.where("tokens is not null").select(F.explode(F.lit(roots).cast("array<bigint>")).alias("path"), "key", "tokens")
+    agreement, links, levels = least_agreement(threshold), None, []
+    for depth in range(1, DEPTH + 1):
+        levels.append(stored(_bucketed(_split(live), agreement, depth == DEPTH), "buckets"))
+        found = levels[-1].where("b is not null").select(F.col("key").alias("a"), "b")
+        links = found if links is None else links.union(found)
+        live = levels[-1].where("tokens is not null")
+    out = stored(links.distinct(), "links")
+    forget(*levels)
+    return out
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -228,9 +282,9 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
 
 def classified(df: DataFrame, threshold: float, recall: float, id_col: str, text_col: str) -> DataFrame:
     """i, h, class_id, n_class, n_links, lead (struct i, h of the class's first row) of every row."""
-    made = stored(sketched(df, runs_needed(threshold, recall), id_col, text_col), "sketches")
-    classes = made.groupBy("key").agg(F.first("paths").alias("paths"))
-    comps = stored(components(candidate_links(classes)), "components")
+    made = stored(sketched(df, id_col, text_col), "sketches")
+    classes = made.groupBy("key").agg(F.first("tokens").alias("tokens"))
+    comps = stored(components(candidate_links(classes, threshold, runs_needed(threshold, recall))), "components")
     one = made.groupBy("key").agg(F.min("i").alias("i"), F.count("*").alias("rows"), F.min(F.struct("i", "h")).alias("lead"))
     size = comps.groupBy("root").agg(F.count("*").alias("m"))
     members = one.join(comps, one["key"] == comps["node"]).select("key", "i", "root").join(size, "root")

@@ -178,6 +178,43 @@ def test_join_edges(spark):
     assert chosen_path.survival(0.8) > 0.93 and (1 - chosen_path.survival(0.8)) ** chosen_path.runs_needed(0.8, 0.999) < 0.001
 
 
+def test_buckets_are_compared_or_split(monkeypatch):
+    monkeypatch.setattr(chosen_path, "SMALL", 4)
+    rng = np.random.default_rng(3)
+    paths = np.repeat(np.arange(9), [1, 2, 3, 4, 5, 1, 40, 2, 4])
+    tokens = rng.integers(0, 1 << 32, (len(paths), 64)).astype(np.uint32)
+    tokens[1] = tokens[2]
+    tokens[5, :40], tokens[3, :30] = tokens[4, :40], tokens[4, :30]
+    keys = np.arange(len(paths))
+    for last in (False, True):
+        got = [r for b in chosen_path.bucket_rows(paths, keys, tokens, 32, last) for r in b.to_pylist()]
+        small = {(r["key"], r["b"]) for r in got if r["b"] is not None and r["path"] not in (4, 6)}
+        assert small == {(2, 1), (5, 4)}
+        rest = [r for r in got if r["path"] in (4, 6)]
+        if last:
+            assert {(r["key"], r["b"]) for r in rest} == {(k, 10) for k in range(11, 15)} | {(k, 16) for k in range(17, 56)}
+        else:
+            assert [r["key"] for r in rest] == [*range(10, 15), *range(16, 56)] and all(r["tokens"] == tokens[r["key"]].tobytes() for r in rest)
+    assert chosen_path.least_agreement(0.8) == 32 and chosen_path.least_agreement(0.05) == 1
+
+
+def test_large_buckets_over_several_batches(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = []
+    for v in "wx":
+        for _ in range(70):
+            w = [f"{v}{i}" for i in range(80)]
+            w[int(rng.integers(0, 80))] = f"e{rng.integers(0, 50)}"
+            texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = plain_classes(list(range(len(texts))), texts)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert {r.doc_id: r.class_id for r in chosen_path.join(df).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (9, 8), (7, 7), (None, 1), (20, 21), (21, 22), (22, 20)] + [(100, k) for k in range(101, 140)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
