@@ -61,7 +61,7 @@ def window_entropy(data: np.ndarray) -> np.ndarray:
         total += _STEP[c]
         count[at] = c + 1
         if k >= WINDOW - 1:
-            out[k - WINDOW + 1] = total >> 4
+            out[k - WINDOW + 1] = np.maximum(total, 0) >> 4  # rounded terms may sum to a little under 0
             at = base + steps[k - WINDOW + 1]
             c = count[at] - 1
             total -= _STEP[c]
