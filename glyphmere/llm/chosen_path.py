@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmere.llm._common import as_bytes, forget, parts_of, slices, stored
+from glyphmere.llm._common import as_bytes, forget, parts_of, slices, spread_join, stored
 from glyphmere.llm._shingles import mixed, set_key, shingle_sets
 from glyphmere.llm.components import components
 
@@ -301,8 +301,11 @@ def classified(df: DataFrame, threshold: float, recall: float, id_col: str, text
     found = one.join(links.withColumnRenamed("a", "key"), "key", "left").join(counts.withColumnRenamed("a", "key"), "key", "left")
     found = found.select("key", "i", "rows", "lead", F.coalesce("b", "key").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     whole = found.groupBy("root").agg(F.min("i").alias("class_id"), F.sum("rows").alias("n_class"), F.min("lead").alias("first"))
-    named = found.join(whole, "root").select(F.col("key").alias("k"), "class_id", "n_class", "n_links", F.col("first").alias("lead"))
-    return made.select("i", "h", "key").join(named, F.col("key") == F.col("k")).drop("key", "k")
+    named = found.join(whole, "root").select(F.col("key").alias("k"), "rows", "class_id", "n_class", "n_links", F.col("first").alias("lead"))
+    named = stored(named.withColumnRenamed("k", "key"), "classes")
+    rows = made.select("i", "h", "key")
+    told = spread_join(rows, named, ["key"], "rows")  # a text may have many copies
+    return (rows.join(named, "key") if told is None else told).drop("key", "rows")
 
 
 def join(df: DataFrame, threshold: float = 0.8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,11 +319,12 @@ def join(df: DataFrame, threshold: float = 0.8, recall: float = 0.999, id_col: s
 
 
 def deduplicated(df: DataFrame, threshold: float = 0.8, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that come first (by id, then text hash) in their class; of repeated rows one."""
+    """The rows of ``df`` that come first (by id, then text hash, then a hash of all columns) in their class; of repeated rows one."""
     told = stored(classified(df, threshold, recall, id_col, text_col), "classes")
     kept = told.where(F.struct("i", "h") == F.col("lead")).select("i", F.col("h").alias("h__"))
     twice = kept.groupBy("i", "h__").count().where("count > 1").limit(1).count()
     rows = df.join(kept.distinct(), df[id_col].eqNullSafe(F.col("i")) & (F.xxhash64(df[text_col]) == F.col("h__")), "left_semi")
     if not twice:
         return rows
-    return rows.withColumn("h__", F.xxhash64(text_col)).dropDuplicates([id_col, "h__"]).drop("h__")
+    row = F.struct(*df.columns)
+    return rows.groupBy(F.col(id_col).alias("i__"), F.xxhash64(text_col).alias("h__")).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("row__")).select("row__.*")

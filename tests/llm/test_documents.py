@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from glyphmere.llm import fingerprints as fp
-from glyphmere.llm import host_rules, license_scan, queries
+from glyphmere.llm import chosen_path, host_rules, license_scan, packing, queries
 from glyphmere.llm._common import stored
 
 ODD = [(None, "a" * 300, 1), (None, None, 2), (5, "x y z " * 60, 3), (5, "", 4), (7, "short", 5)]
@@ -149,6 +149,34 @@ def test_license_scan(spark):
     assert license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, template int").limit(0)).count() == 0
 
 
+def plain_matches(words, template, least=0.8):
+    """Whether a stretch of the words is the template but for few edits: the least edits of the template to any stretch, by the full table."""
+    row = [0] * (len(words) + 1)
+    for i, t in enumerate(template, 1):
+        new = [i]
+        for j, w in enumerate(words, 1):
+            new.append(min(row[j - 1] + (t != w), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row) <= (1 - least) * len(template)
+
+
+def test_altered_notices_are_found(spark):
+    rng = np.random.default_rng(7)
+    words = license_scan.TEMPLATES["MIT"].split()
+    docs = []
+    for k in range(60):
+        text = list(words)
+        for _ in range(k // 4):  # up to 14 changed, lost or added words
+            at = int(rng.integers(0, len(text)))
+            text[at : at + int(rng.integers(0, 2))] = [f"x{at}"] if rng.random() < 0.7 else []
+        docs.append(["before"] * int(rng.integers(0, 30)) + text + ["after"] * int(rng.integers(0, 30)))
+    docs += [[f"y{i}" for i in rng.integers(0, 300, 200)] for _ in range(10)]
+    got = {(r.doc_id, r.template): r.coverage for r in license_scan.scan(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")).collect()}
+    like = [i for i, d in enumerate(docs) if plain_matches([w.lower() for w in d], [w.lower() for w in words])]
+    assert len(like) >= 55 and all((i, "MIT") in got for i in like)
+    assert not any(i >= 60 for i, _ in got)
+
+
 def test_adjacent_notices_are_all_found(spark):
     names = ("MIT-notice", "Apache-2.0-notice", "CC-BY-NC-4.0-notice")
     rows, want = [], set()
@@ -193,7 +221,42 @@ def test_pipeline_stages(spark, sf):
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.8 * sizes[0]
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert packed.select("doc_id").distinct().count() == sizes[-1]
-    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (2, "thing the and " * 40, "en", "s", 560), (2, "thing the and " * 40, "en", "s", 560)], source.schema)
-    for _, stage in corpus_pipeline.STAGES[1:-1]:
-        assert stage(spark, odd, sf).columns == source.columns and stage(spark, odd, sf).count() >= 1
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (2, "thing the and " * 40, "en", "s", 560), (2, "thing the and " * 40, "en", "s", 560), (3, "12 34", None, None, 5), (4, "das und nicht " * 40, "de", "s", 560), (5, "x" * 200_000 + " the and" * 30_000, "en", "s", 440_000)], source.schema)
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, sf)
+        assert got.columns == source.columns and got.schema == source.schema
+        counts[name] = got.count()
         assert stage(spark, odd.limit(0), sf).count() == 0
+    assert counts == {"language": 4, "lines": 7, "near_copies": 5, "passages": 7}
+    packed = corpus_pipeline.packed(spark, odd, sf)
+    assert packed.select("doc_id", "piece").where("piece = 0").count() == 7 and corpus_pipeline.packed(spark, odd.limit(0), sf).count() == 0
+
+
+def test_stages_pass_on_other_columns(spark, sf):
+    names = ["k__", "runs", "rest", "doc", "n_cut", "repeats", "lang_pred", "word_score", "row"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").drop("n_chars")
+    for name in names:
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns and got.count() > 100
+        assert got.where(" or ".join(f"{x} <> concat('{x}', doc_id)" for x in names)).count() == 0
+    assert corpus_pipeline.packed(spark, docs, sf).count() >= docs.count()
+
+
+def test_copies_that_differ_in_other_columns(spark):
+    rows = [(1, "a b c d e f g", x) for x in "zyx"] + [(2, "a b c d e f g", "w")]
+    first = {tuple(chosen_path.deduplicated(spark.createDataFrame(part, "doc_id long, text string, lang string")).collect()) for part in (rows, rows[::-1])}
+    assert len(first) == 1 and len(first.pop()) == 1
+
+
+def test_very_long_texts(spark):
+    words = " ".join(f"w{i % 7919}" for i in range(400_000))
+    df = spark.createDataFrame([(1, words, "s"), (2, words + " end", "s"), (3, "", "s")], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in fp.with_next(df).collect()}
+    assert got[1].n_chars == len(words) and got[1].near_next > 0.9
+    facts = {r.doc_id: r for r in host_rules.rules(df).collect()}
+    assert facts[1].n_words == 400_000 and facts[1].n_repeat_words == 400_000
+    assert {r.doc_id: r.class_id for r in chosen_path.join(df).collect()} == {1: 1, 2: 1, 3: 3}
+    assert packing.pack(df.select("doc_id", "text"), queries.tokenizer_file("byte_bpe_50k.json")).groupBy("doc_id").agg(F.sum("length").alias("n")).where("n > 400000").count() == 2

@@ -54,6 +54,20 @@ def test_segments_equal_library():
         assert np.frombuffer(mine.ids(t.encode()), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
+def test_digest_edges(spark):
+    lib = Tokenizer.from_file(WORDS)
+    long = "Straße naïve 日本 " * 20_000 + "x" * 5_000
+    rows = [(None, "a b", 1), (None, None, 2), (5, "", 3), (5, "Twice", 4), (5, "Twice", 4), (6, long, 5), (7, " \t\n", 6), (8, "[CLS] ## [MASK] é e\u0301 \u0000", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in forced_bpe.digests(df, WORDS).collect()))
+    want = []
+    for i, t, _ in rows:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        want.append((i is None, i or 0, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert got == sorted(want)
+    assert forced_bpe.digests(df.limit(0), WORDS).count() == 0
+
+
 def exact_bins(sizes, capacity):
     best = [len(sizes)]
 
