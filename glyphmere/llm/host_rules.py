@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmere.llm._common import WS, as_bytes, slices, stored
+from glyphmere.llm._common import WS, as_bytes, slices, spread_join, stored
 
 _NOT_SYMBOL = bytes(b for b in range(256) if b not in b"#*$%&|<>")
 
@@ -109,6 +109,8 @@ def rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: C
     """``id_col``, the five counts, base_failed, host, its shrunk rate and verdict, kept: a row for each document."""
     told = facts(df, id_col, text_col, df["source"] if host is None and "source" in df.columns else host)
     told = stored(told.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "rules")
-    verdict = host_verdicts(told, worst_rate=worst_rate).select(F.col("host").alias("of"), "shrunk_rate", "host_failed")
-    joined = told.join(verdict, F.col("host").eqNullSafe(F.col("of")), "left").drop("of")
+    verdict = host_verdicts(told, worst_rate=worst_rate).select(F.struct("host").alias("of"), "n_docs", "shrunk_rate", "host_failed")
+    keyed = told.withColumn("of", F.struct("host"))
+    joined = spread_join(keyed, verdict, ["of"], "n_docs")  # a host may hold a large share of all rows
+    joined = (keyed.join(verdict, "of") if joined is None else joined).drop("of", "n_docs")
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("host_failed"), F.lit(False)))
