@@ -93,22 +93,26 @@ def shared_folder(spark: SparkSession) -> str:
     return re.sub(r"/+$", "", folder)
 
 
-def _collect(spark: SparkSession) -> None:
-    """Collects the driver's garbage, at which Spark drops the shuffle files of plans that are gone."""
+def drop_shuffles(spark: SparkSession, after: float = COLLECT_EVERY) -> None:
+    """Collects the driver's garbage, ``after`` so many seconds since the last time: then Spark drops the shuffle files of plans that are gone."""
     global _collected
-    if time.monotonic() - _collected > COLLECT_EVERY:
+    if time.monotonic() - _collected > after:
         spark.sparkContext._jvm.System.gc()
         _collected = time.monotonic()
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to a table in the shared folder and read back, which cuts its lineage and survives lost executors."""
+def stored(df: DataFrame, what: str, packed: bool = False) -> DataFrame:
+    """``df`` written to a table in the shared folder and read back, which cuts its lineage and survives lost executors.
+
+    ``packed``: its values are long and compressed already. Compressing pages of
+    them again would only fill the direct memory of the JVM.
+    """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark)}/glyphmere/{what}-{uuid.uuid4().hex}"
-    _collect(spark)
-    df.write.parquet(path)
+    drop_shuffles(spark)
+    df.write.parquet(path, compression="uncompressed" if packed else None)
     del df
-    _collect(spark)
+    drop_shuffles(spark)
     return spark.read.schema(schema).parquet(path)
 
 

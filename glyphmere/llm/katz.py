@@ -40,12 +40,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmere.llm._common import as_bytes, forget, parts_of, placed, slices, stored
+from glyphmere.llm._common import as_bytes, drop_shuffles, forget, parts_of, placed, release, slices, stored
 from glyphmere.llm._shingles import mixed
 
 LARGEST = 5
-CHUNK_TOKENS, BUCKET_TOKENS = 1_200_000, 2_000_000
+CHUNK_TOKENS, BUCKET_TOKENS = 800_000, 1_000_000
 END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
+#: The least type for whole numbers of so many bytes.
+_NARROW = [np.dtype(f"<u{1 << max(0, (k - 1).bit_length())}") for k in (1, *range(1, 9))]
 #: Number of the start mark; words have numbers from 1 on.
 START = np.uint64(0)
 
@@ -65,12 +67,16 @@ def discounts(of_count: np.ndarray) -> np.ndarray:
 
 
 def boxed(columns: list[np.ndarray]) -> bytes:
-    """Columns of whole numbers (as 64 bits) or doubles, mostly small, as compressed planes of their bytes."""
+    """Columns of whole numbers (of 64 bits) or doubles, mostly small, as compressed planes of their bytes."""
     parts = []
     for x in columns:
-        planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), 8).T
-        used = 8 if x.dtype == np.float64 else int(np.flatnonzero(planes.any(axis=1)).max(initial=-1)) + 1
-        parts += [np.array([len(x), used], "<u4").tobytes(), planes[:used].tobytes()]
+        if x.dtype == np.float64:
+            used, narrow = 8, x
+        else:
+            used = -(-int(x.max(initial=0)).bit_length() // 8)
+            narrow = x.astype(_NARROW[used])
+        planes = np.ascontiguousarray(narrow).view(np.uint8).reshape(len(x), narrow.dtype.itemsize).T[:used]
+        parts += [np.array([len(x), used], "<u4").tobytes(), planes.tobytes()]
     return zstandard.compress(b"".join(parts), 1)
 
 
@@ -79,16 +85,23 @@ def unboxed(raw: bytes, kinds: str) -> list[np.ndarray]:
     data, at, out = zstandard.decompress(raw), 0, []
     for kind in kinds:
         n, used = np.frombuffer(data, "<u4", 2, at).tolist()
-        planes = np.zeros((n, 8), np.uint8)
+        narrow = _NARROW[used] if kind == "u" else np.dtype("<f8")
+        planes = np.zeros((n, narrow.itemsize), np.uint8)
         planes[:, :used] = np.frombuffer(data, np.uint8, n * used, at + 8).reshape(used, n).T
         at += 8 + n * used
-        out.append(planes.reshape(-1).view("<u8" if kind == "u" else "<f8"))
+        out.append(planes.reshape(-1).view(narrow).astype("<u8" if kind == "u" else "<f8", copy=False))
     return out
 
 
 def steps(x: np.ndarray) -> np.ndarray:
-    """Differences of neighbours, the first to 0; ``np.cumsum`` undoes it."""
-    return np.diff(x.astype(np.uint64), prepend=np.uint64(0))
+    """Differences of neighbours, the first to 0, with the sign in the lowest bit."""
+    d = np.diff(x.astype(np.int64), prepend=0)
+    return (d << 1 ^ d >> 63).view(np.uint64)
+
+
+def walked(d: np.ndarray) -> np.ndarray:
+    """What ``steps`` was given."""
+    return np.cumsum((d >> np.uint64(1)).view(np.int64) ^ -(d & np.uint64(1)).view(np.int64)).view(np.uint64)
 
 
 class Words:
@@ -156,8 +169,10 @@ def chunked(df: DataFrame, learn: Column, id_col: str, text_col: str) -> DataFra
                 number.clear()
                 ids, flags, lengths, streams = [], [], [], []
                 held, made = 0, made + 1
+                release()
         if lengths:
             yield out()
+        release()
 
     rows = df.select(df[id_col].alias("i"), df[text_col].alias("t"), F.coalesce(learn, F.lit(False)).alias("ok"))
     return rows.mapInArrow(run, f"chunk long, ids array<{id_kind}>, learn array<boolean>, lengths array<long>, words binary, stream binary")
@@ -189,7 +204,7 @@ class Chunk:
             self.words = np.frombuffer(row["words"], "<u8")
         if row.get("names") is not None:
             names, self.count = unboxed(row["names"], "uu")
-            self.names = np.append(np.cumsum(names, dtype=np.uint64), START)
+            self.names = np.append(walked(names), START)
         if row.get("counted") is not None:
             (self.counted,), (self.total,) = unboxed(row["counted"], "u"), unboxed(row["total"], "u")
         if row.get("alpha") is not None:
@@ -220,15 +235,16 @@ class Chunk:
         return Grams(names, key_of(names), grams // size, grams % size, shorter, None if place is None else place // size, token)
 
 
-def spread(key: np.ndarray, word: np.ndarray, hot: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each n-gram, from its context's hash and its word's number, and whether its context is spread over all."""
-    is_hot = np.isin(key, hot)
-    return (np.where(is_hot, mixed(key ^ mixed(word)), key) >> np.uint64(20)).astype(np.int64) % buckets, is_hot
+def spread(g: Grams, word: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each n-gram: by its context's nearest word, where that is a spread context by the whole context, where that is too by its own word also."""
+    near = mixed(g.names[0])
+    key = np.where(np.isin(near, hot), g.key, near)[g.ctx]
+    return (np.where(np.isin(g.key, hot)[g.ctx], mixed(key ^ mixed(word)), key) >> np.uint64(20)).astype(np.int64) % buckets
 
 
 def dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket that has any, and the places of its members in their order."""
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if bucket.max(initial=0) < 1 << 16 else bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
     return ((int(bucket[o[0]]), o) for o in np.split(order, cuts[1:]) if len(o))
 
@@ -257,6 +273,8 @@ def exchanged(chunks: DataFrame, columns: list[str], ask: Callable[[Chunk], Iter
         for row in _rows(batches):
             chunk = Chunk(row)
             yield _sent([(spots[b % n], chunk.key, b, payload) for b, payload in ask(chunk)], *_ASK)
+            del chunk
+            release()
 
     def telling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
@@ -264,10 +282,13 @@ def exchanged(chunks: DataFrame, columns: list[str], ask: Callable[[Chunk], Iter
             if r["bucket"] != at and held:
                 yield _sent([(c, at, p) for c, p in tell(at, held)], *_TELL)
                 held = []
+                release()
             at = r["bucket"]
             held.append((r["chunk"], r["payload"]))
         if held:
             yield _sent([(c, at, p) for c, p in tell(at, held)], *_TELL)
+            held = []
+        release()
 
     sent = chunks.select(*columns).mapInArrow(asking, "spot long, " + ANSWER)
     return sent.repartition(n, "spot").sortWithinPartitions("bucket").mapInArrow(telling, ANSWER)
@@ -345,7 +366,7 @@ def decoded(payload: bytes, order: int) -> tuple[list[np.ndarray], np.ndarray, n
     *names, runs, word, learned, below = columns
     runs, ends = runs.astype(np.int64), np.cumsum(word, dtype=np.uint64)
     base = np.append(np.uint64(0), ends)[np.cumsum(runs) - runs]
-    return [np.cumsum(x, dtype=np.uint64) for x in names], runs, ends - np.repeat(base, runs), learned, below, None if totals is None else np.cumsum(totals, dtype=np.uint64)
+    return [walked(x) for x in names], runs, ends - np.repeat(base, runs), learned, below, None if totals is None else walked(totals)
 
 
 def count_grams(chunks: DataFrame, order: int, lower: Callable[[np.ndarray, np.ndarray | None], np.ndarray], hot: np.ndarray, buckets: int, often: float) -> DataFrame:
@@ -363,11 +384,10 @@ def count_grams(chunks: DataFrame, order: int, lower: Callable[[np.ndarray, np.n
         learned = np.bincount(g.token[c.learn], minlength=len(g.word)).astype(np.uint64)
         below = (c.count if order == 2 else c.counted)[g.shorter]
         word = c.names[g.word]
-        bucket, _ = spread(g.key[g.ctx], word, hot, buckets)
-        for b, o in dealt(bucket):
+        for b, o in dealt(spread(g, word, hot, buckets)):
             first = np.flatnonzero(np.diff(g.ctx[o], prepend=-1))
             here = g.ctx[o[first]]
-            last = steps(word[o])
+            last = np.diff(word[o], prepend=START)
             last[first] = word[o[first]]
             runs = np.diff(np.append(first, len(o))).astype(np.uint64)
             totals = [steps(c.total[g.outer[here]])] if order > 2 else []
@@ -377,11 +397,13 @@ def count_grams(chunks: DataFrame, order: int, lower: Callable[[np.ndarray, np.n
         got = [decoded(p, order) for _, p in held]
         names = [np.concatenate([g[0][k] for g in got]) for k in range(order - 1)]
         runs = np.concatenate([g[1] for g in got])
-        keys, first_of, at = np.unique(key_of(names), return_index=True, return_inverse=True)
+        keys, at = np.unique(key_of(names), return_inverse=True)
+        one_of = np.empty(len(keys), np.int64)
+        one_of[at] = np.arange(len(at))
         ctx = np.repeat(at, runs)
         words, place = np.unique(np.concatenate([g[2] for g in got]), return_inverse=True)
         cell = ctx << 32 | place
-        by = np.argsort(cell, kind="stable")
+        by = np.argsort(cell)
         start = np.flatnonzero(np.diff(cell[by], prepend=-1))
         size = np.diff(np.append(start, len(by)))
         total = np.add.reduceat(np.concatenate([g[3] for g in got])[by], start)
@@ -395,11 +417,11 @@ def count_grams(chunks: DataFrame, order: int, lower: Callable[[np.ndarray, np.n
         seen = total > 0
         facts = np.zeros((FACTS, len(keys)))
         facts[0] = np.bincount(of_ctx, total, len(keys))
-        for r in range(1, LARGEST + 1):
-            facts[r] = np.bincount(of_ctx[total == r], minlength=len(keys))
+        few = np.minimum(total, LARGEST + 1).astype(np.int64)
+        facts[1:-1] = np.bincount(of_ctx * (LARGEST + 2) + few, minlength=len(keys) * (LARGEST + 2)).reshape(len(keys), -1).T[1 : LARGEST + 1]
         facts[-1] = np.bincount(of_ctx[seen], lower(below[seen], None if outer is None else outer[seen]), len(keys))
         mine, many = np.isin(keys, hot), total > often
-        later = mixed(mixed(last[many]) ^ names[0][first_of][of_ctx[many]])
+        later = mixed(mixed(last[many]) ^ names[0][one_of][of_ctx[many]])
         whole = facts[:-1].astype(np.uint64)
         yield -1, boxed([of_counts(total).astype(np.uint64), later, keys[mine], *(x[mine] for x in whole), facts[-1][mine]])
         n = a = 0
@@ -446,7 +468,7 @@ def told_of(g: Grams, c: Chunk, answers: list[dict], hot: np.ndarray, hot_facts:
     """Counts of a chunk's n-grams, and facts of its contexts (a row each), from the buckets' answers."""
     by = {a["bucket"]: a["payload"] for a in answers}
     counts, facts = np.zeros(len(g.word), np.uint64), np.zeros((len(g.key), FACTS))
-    for b, o in dealt(spread(g.key[g.ctx], c.names[g.word], hot, buckets)[0]):
+    for b, o in dealt(spread(g, c.names[g.word], hot, buckets)):
         counts[o], *told = unboxed(by.pop(b), "u" + _FACTS_KIND)
         first = np.flatnonzero(np.diff(g.ctx[o], prepend=-1))
         here = g.ctx[o[first]]
@@ -480,10 +502,10 @@ def _mapped(df: DataFrame, keep: list[str], make: Callable[[dict], dict[str, byt
 def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, learned, n_tokens, n_known, train_tokens, base_score, score of every row; the model learns from rows where ``learn`` holds."""
     spark = df.sparkSession
-    cut = stored(chunked(df, learn, id_col, text_col), "chunks")
+    cut = stored(chunked(df, learn, id_col, text_col), "chunks", packed=True)
     buckets = max(parts_of(spark), -(-cut.count() * CHUNK_TOKENS // BUCKET_TOKENS))
     share = min(4 * buckets, MOST_SPREAD)
-    told = stored(count_words(cut, buckets), "words")
+    told = stored(count_words(cut, buckets), "words", packed=True)
     tokens, kinds, of, frequent = word_facts(told, share)
     words = Words(tokens, of)
     hot = {2: np.append(mixed(frequent), mixed(np.array([START])))}
@@ -500,24 +522,27 @@ def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         return {"names": boxed([steps(number[order]), count[order]]), "stream": boxed([place[stream.astype(np.int64)]])}
 
     base = ["chunk", "ids", "learn", "lengths"]
-    chunks = stored(_mapped(_gathered(cut, told), base, numbered, ["names", "stream"]), "chunks")
+    chunks = stored(_mapped(_gathered(cut, told), base, numbered, ["names", "stream"]), "chunks", packed=True)
     forget(cut, told)
-    told = stored(count_grams(chunks, 2, lambda c, _: words(c), hot[2], buckets, tokens / share), "pairs")
+    told = stored(count_grams(chunks, 2, lambda c, _: words(c), hot[2], buckets, tokens / share), "pairs", packed=True)
     of, later, pair_facts = gram_facts(told)
     pairs = Contexts(of)
-    hot[3] = np.append(later, mixed(mixed(np.array([START])) ^ START))
+    hot[3] = np.concatenate([hot[2], later, mixed(mixed(np.array([START])) ^ START)])
 
     def paired(row: dict) -> dict[str, bytes]:
         c = Chunk(row)
-        counts, facts = told_of(c.grams(2), c, row["answers"], hot[2], pair_facts, buckets)
+        g = c.grams(2)
+        counts, facts = told_of(g, c, row["answers"], hot[2], pair_facts, buckets)
         total, alpha = pairs.weights(facts[:, 0], facts[:, -1], facts[:, 1:-1])
+        alpha[np.bincount(g.ctx, counts == 0, len(alpha)) == 0] = 0  # not needed
         return {"counted": boxed([counts]), "total": boxed([total.astype(np.uint64)]), "alpha": boxed([alpha])}
 
-    wide = stored(_mapped(_gathered(chunks, told), [*base, "names", "stream"], paired, ["counted", "total", "alpha"]), "chunks")
+    wide = stored(_mapped(_gathered(chunks, told), [*base, "names", "stream"], paired, ["counted", "total", "alpha"]), "chunks", packed=True)
     forget(chunks, told)
-    told = stored(count_grams(wide, 3, lambda c, total: pairs.seen(c, total), hot[3], buckets, np.inf), "triples")
+    told = stored(count_grams(wide, 3, lambda c, total: pairs.seen(c, total), hot[3], buckets, np.inf), "triples", packed=True)
     of, _, triple_facts = gram_facts(told)
     triples = Contexts(of)
+    drop_shuffles(spark, 0)
     id_kind = df.schema[id_col].dataType.simpleString()
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -537,5 +562,7 @@ def score(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
                 plain = np.add.reduceat(np.log10((c.count + 1.0) / (tokens + 1.0 * (kinds + 1)))[c.stream], c.starts)
                 known = np.add.reduceat((c.count > 0)[c.stream].astype(np.int64), c.starts)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(row["learn"]), pa.array(c.lengths), pa.array(known), pa.array(np.full(len(ids), tokens)), pa.array(plain), pa.array(score)], ["i", "learned", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                del row, ids, c, two, three, counts, facts, p
+                release()
 
     return _gathered(wide, told).mapInArrow(evaluate, f"i {id_kind}, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("i", id_col)
