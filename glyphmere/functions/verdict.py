@@ -19,6 +19,11 @@ COMBOSQUAT = "One name is the other plus a delimited affix (possible combosquat)
 UNRELATED = "No typosquat signal (damerau > 1 and not confusable-only)."
 ALL_HOMOGLYPHS = "every differing character is a homoglyph (the strings are visually identical)"
 MOST_HOMOGLYPHS = "most of the difference comes from homoglyphs (visually confusable characters)"
+DIFFER, EDIT, EDITS = "The strings differ by ", "1 edit", " edits"
+BUT, CONFUSE = ", but ", ". High likelihood of an attempt to confuse."
+NOT_HOMOGLYPHS = " with no significant homoglyph involvement"
+MINOR = " (with only minor homoglyph involvement)"
+TYPO, UNLIKE = " — likely a typo.", " — they appear unrelated."
 
 
 def classified(identical: Column, same: Column, a: Column, b: Column, damerau: Column, confusable_only: Column, keyboard: Column) -> tuple[Column, Column]:
@@ -38,12 +43,12 @@ def verdict(a: Column, b: Column, equal: Column, damerau: Column, skeleton_damer
     longest = F.greatest(la, lb)
     share = F.when(damerau == 0, 0.0).otherwise(delta / damerau)
     spoof = confusable_only | ((share > 0.5) & (longest >= 3) & (F.abs(la - lb) / F.greatest(longest, F.lit(1)) <= len_tolerance))
-    edits = F.when(damerau == 1, "1 edit").otherwise(F.concat(damerau.cast("string"), F.lit(" edits")))
+    edits = F.when(damerau == 1, EDIT).otherwise(F.concat(damerau.cast("string"), F.lit(EDITS)))
     detail = F.when(confusable_only, ALL_HOMOGLYPHS).otherwise(MOST_HOMOGLYPHS)
-    spoofed = F.concat(F.lit("The strings differ by "), edits, F.lit(", but "), detail, F.lit(". High likelihood of an attempt to confuse."))
-    note = F.when(skeleton_damerau < damerau, " (with only minor homoglyph involvement)").otherwise("")
-    ending = F.when(damerau <= 2, F.concat(note, F.lit(" — likely a typo."))).otherwise(" — they appear unrelated.")
-    benign = F.concat(F.lit("The strings differ by "), edits, F.lit(" with no significant homoglyph involvement"), ending)
+    spoofed = F.concat(F.lit(DIFFER), edits, F.lit(BUT), detail, F.lit(CONFUSE))
+    note = F.when(skeleton_damerau < damerau, MINOR).otherwise("")
+    ending = F.when(damerau <= 2, F.concat(note, F.lit(TYPO))).otherwise(UNLIKE)
+    benign = F.concat(F.lit(DIFFER), edits, F.lit(NOT_HOMOGLYPHS), ending)
     same = F.lit(False) if same is None else same
     known = a.isNotNull() & b.isNotNull()
     label = F.when(~known, None).when(same, "SAME PROJECT").when(equal, "IDENTICAL").when(spoof, "LIKELY SPOOF").otherwise("LIKELY BENIGN")

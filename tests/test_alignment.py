@@ -40,7 +40,7 @@ def test_distances_match_plain_evaluation(pairs):
 
 @pytest.mark.parametrize(
     "a, b, dist, count, keys",
-    [
+    [  # fixed values
         ("paypal", "pаypal", 1, 1, None),
         ("rnicrosoft", "microsoft", 2, 0, 0.0866),
         ("google", "gogle", 1, 0, 0.0),

@@ -39,6 +39,7 @@ def test_skeletons(spark):
 
 
 def test_script_levels(spark):
+    # fixed values
     want = {"paypal": 0, "pаypal": 4, "αβγ": 1, "日本の": 1, "a日本": 2, "aก": 3, "foo bar": 5, "foo/bar": 5, "foo-bar": 0, "": 0}
     assert {k: scripts().level(k) for k in want} == want
     got = frame(spark, [(k,) for k in want], "s string").select("s", S.restriction_level(F.col("s")).alias("v")).collect()
@@ -62,7 +63,7 @@ def test_rules(spark):
 
 @pytest.mark.parametrize(
     "a, b, label",
-    [
+    [  # fixed values
         ("lodash", "lodash", "identical"), ("lodash", "lodahs", "likely_typosquat"), ("lodash", "1odash", "likely_typosquat"),
         ("microsoft", "rnicrosoft", "likely_typosquat"), ("google", "go0gle", "likely_typosquat"), ("ab", "ac", "unrelated"),
         ("lodash", "lodash-utils", "possible_combosquat"), ("lodash", "my-lodash-utils", "possible_combosquat"),
