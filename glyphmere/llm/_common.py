@@ -110,6 +110,7 @@ def stored(df: DataFrame, what: str, packed: bool = False) -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark)}/glyphmere/{what}-{uuid.uuid4().hex}"
     drop_shuffles(spark)
+    _made.add(path)
     df.write.parquet(path, compression="uncompressed" if packed else None)
     del df
     drop_shuffles(spark)
@@ -126,24 +127,38 @@ def forget(*frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def often_of(groups: DataFrame, size: str = "n") -> tuple[int, int]:
+    """How many rows of a key are a large share (1 in ``4 * partitions`` of all rows, so that at most as many keys have more; at least ``OFTEN``), and the most that a key has (0 without any)."""
+    state = groups.agg(F.sum(size).alias("total"), F.max(size).alias("largest")).first()
+    return max((state["total"] or 0) // (4 * parts_of(groups.sparkSession)), OFTEN), state["largest"] or 0
+
+
 def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str = "n") -> DataFrame | None:
     """Inner join of stored ``rows`` with ``groups``, which has one row a key; ``size`` is the number of rows of the key. None if there are no groups.
 
-    Keys of more than 1 in ``4 * partitions`` of all rows, of which there are at
-    most so many, are joined by broadcast. So no task gets all rows of a hot key.
+    Keys that hold a large share of all rows, of which there are at most
+    ``4 * partitions``, are joined by broadcast. So no task gets all rows of a hot key.
     """
-    most = 4 * parts_of(rows.sparkSession)
-    state = groups.agg(F.sum(size).alias("total"), F.max(size).alias("largest")).first()
-    if state["total"] is None:
-        return None
-    often = max(state["total"] // most, OFTEN)
-    if state["largest"] <= often:
-        return rows.join(groups, keys)
+    often, largest = often_of(groups, size)
+    if largest <= often:
+        return rows.join(groups, keys) if largest else None
     hot = F.broadcast(groups.where(F.col(size) > often))
     rest = rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col(size) <= often), keys)
     return rows.join(hot, keys).unionByName(rest)
 
 
+#: Tables that ``stored`` made in this process and nothing has deleted yet.
+_made: set[str] = set()
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this process made by ``stored``; for use when the results that read them have been read or written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 

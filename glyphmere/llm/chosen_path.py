@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmere.llm._common import as_bytes, forget, parts_of, slices, spread_join, stored
+from glyphmere.llm._common import as_bytes, forget, often_of, parts_of, slices, spread_join, stored
 from glyphmere.llm._shingles import mixed, set_key, shingle_sets
 from glyphmere.llm.components import components
 
@@ -144,7 +144,10 @@ def bucket_rows(paths: np.ndarray, keys: np.ndarray, tokens: np.ndarray, agreeme
 
 
 def _bucketed(rows: DataFrame, agreement: int, last: bool) -> DataFrame:
-    """Rows of ``bucket_rows`` of all buckets. A task holds one Arrow batch and the buckets that begin in it, of a large one only its first sets."""
+    """Rows of ``bucket_rows`` of all buckets. A task holds one Arrow batch and the buckets that begin in it, of a large one only its first sets.
+
+    Buckets that hold a large share of all rows aren't brought together: that they are large is all that counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, large, least = None, None, 0
@@ -169,8 +172,18 @@ def _bucketed(rows: DataFrame, agreement: int, last: bool) -> DataFrame:
         if held is not None:
             yield from bucket_rows(*held, agreement, last)
 
-    dealt = rows.repartition(parts_of(rows.sparkSession), "path").sortWithinPartitions("path", "key")
-    return dealt.mapInArrow(run, _ROW + ", b long")
+    def dealt(some: DataFrame) -> DataFrame:
+        return some.repartition(parts_of(some.sparkSession), "path").sortWithinPartitions("path", "key").mapInArrow(run, _ROW + ", b long")
+
+    sizes = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("key").alias("least"))
+    often, largest = often_of(sizes)
+    if largest <= often:
+        return dealt(rows)
+    marked = rows.join(F.broadcast(sizes.where(F.col("n") > often).select("path", "least")), "path", "left")  # at most 4 * partitions rows
+    some, many = marked.where("least is null").drop("least"), marked.where("least is not null")
+    links = many.where("key <> least").select("path", "key", F.lit(None).cast("binary").alias("tokens"), F.col("least").alias("b"))
+    sets = many.select("path", "key", "tokens", F.lit(None).cast("long").alias("b"))
+    return dealt(some).unionByName(links if last else sets)
 
 
 def candidate_links(classes: DataFrame, threshold: float, runs: int) -> DataFrame:
