@@ -211,6 +211,8 @@ def test_large_buckets_over_several_batches(spark, monkeypatch):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         assert {r.doc_id: r.class_id for r in chosen_path.join(df).collect()} == want
+        monkeypatch.setattr(_common, "OFTEN", 20)  # very large buckets aren't brought together
+        assert {r.doc_id: r.class_id for r in chosen_path.join(df).collect()} == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
@@ -382,8 +384,9 @@ def test_other_ids_and_columns(spark):
     assert {k: r.n_cut for k, r in got.items()} == {(None, 3): 0, ("a", 2): 70, ("b", 1): 70, ("b", 4): 70}
     assert got["a", 2].doc == "v" and got["a", 2].repeats[0].of is None and got["b", 1].repeats[0].of in ("a", None)
     long = " ".join(f"w{i % 40_000}" for i in range(90_000))
-    got = {r.doc_id: r.n_cut for r in compact_windows.find_repeats(spark.createDataFrame([(1, long), (2, "q " + long)], "doc_id int, text string")).collect()}
-    assert got == {1: 50_000, 2: 90_000}
+    for within in (False, True):
+        got = {r.doc_id: r.n_cut for r in compact_windows.find_repeats(spark.createDataFrame([(1, long), (2, "q " + long)], "doc_id int, text string"), within=within).collect()}
+        assert got == {1: 50_000 if within else 0, 2: 90_000}
 
 
 def test_parts_of_large_groups_give_every_equal_run(spark, monkeypatch):
@@ -405,3 +408,10 @@ def test_parts_of_large_groups_give_every_equal_run(spark, monkeypatch):
                 some += 1
                 assert any(s.first <= k and k + 50 <= s.end for s in r.repeats)
     assert some > 100
+
+
+def test_own_repeats_are_left_unless_asked_for(spark):
+    p = " ".join(f"w{i}" for i in range(70))
+    df = spark.createDataFrame([(1, p + " q " + p), (2, "other words"), (3, "x " + p)], "doc_id long, text string")
+    assert {r.doc_id: r.n_cut for r in compact_windows.find_repeats(df).collect()} == {1: 0, 2: 0, 3: 70}
+    assert {r.doc_id: r.n_cut for r in compact_windows.find_repeats(df, within=True).collect()} == {1: 70, 2: 0, 3: 70}
