@@ -48,8 +48,8 @@ def test_op8_equals_library(spark, sf):
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
-def test_segments_equal_library():
-    mine, lib = packing.SegmentTokenizer(BYTES), Tokenizer.from_file(BYTES)
+def test_quick_ids_equal_library():
+    mine, lib = packing.QuickTokenizer(BYTES), Tokenizer.from_file(BYTES)
     for t in ODD + fuzz(1500, 2) + ["a \n\n b\n", "\n\n\nB", "x  y   z ", "don't 'tis"]:
         assert np.frombuffer(mine.ids(t.encode()), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
 
