@@ -32,8 +32,16 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the machine; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 16 << 20, most_rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that ``column`` holds about ``most_bytes`` each; one long row may exceed it."""
+    """Batches cut so that ``column`` holds about ``most_bytes`` each; one long row may exceed it. After the last, freed memory is given back."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(column)).to_pylist()
         start = held = 0
@@ -44,6 +52,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 16
                 start, held = i + 1, 0
         if start < batch.num_rows:
             yield batch.slice(start)
+        del batch
+    release()
 
 
 #: Seconds between the driver's collections of garbage after stored tables.
@@ -53,14 +63,6 @@ _collected = 0.0
 OFTEN = 10_000
 
 
-def release() -> None:
-    """Gives memory that a Python worker has freed back to the machine; workers live on between tasks."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
-    if trim is not None:
-        trim(0)
-
-
 class Recent(dict):
     """A bounded memo: ``make(key)`` fills it, and of older entries those used again since stay."""
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmere.llm._common import as_bytes, forget, often_of, parts_of, slices, spread_join, stored
+from glyphmere.llm._common import as_bytes, forget, often_of, parts_of, release, slices, spread_join, stored
 from glyphmere.llm._shingles import mixed, set_key, shingle_sets
 from glyphmere.llm.components import components
 
@@ -87,7 +87,7 @@ def sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """i, h (hash of the text), key (of the shingle set), tokens (of sets that aren't empty) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "t", 8 << 20):
+        for batch in slices(batches, "t", 3 << 20):
             sets = shingle_sets([t or b"" for t in as_bytes(batch.column("t"))])
             tokens = [sampled_tokens(s).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("h"), pa.array([set_key(s) for s in sets], pa.int64()), pa.array(tokens, pa.binary())], ["i", "h", "key", "tokens"])
@@ -288,6 +288,8 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
                 held.append((key, part, t or b""))
         if held:
             yield out()
+            held = []
+        release()
 
     dealt = rows.repartition(n, "comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
     return dealt.select("comp", "parts", "lo", "hi", "part", "key", "t").mapInArrow(run, "a long, b long, n long")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmere.llm._common import slices
+from glyphmere.llm._common import release, slices
 
 DOCS_PER_LANGUAGE, WORDS_PER_DOC, MOST_LANGUAGES = 300, 120, 400
 SLOTS, SEQUENCE, PASSES = 1 << 17, 36, 40
@@ -73,10 +73,10 @@ def emissions(weights: np.ndarray, words: list[bytes]) -> np.ndarray:
     if not words:
         return np.zeros((0, weights.shape[1]), np.float32)
     out = np.empty((len(words), weights.shape[1]), np.float32)
-    for a in range(0, len(words), 50_000):
-        slot, of = word_features(words[a : a + 50_000])
+    for a in range(0, len(words), 20_000):
+        slot, of = word_features(words[a : a + 20_000])
         first = np.flatnonzero(np.diff(of, prepend=-1))
-        out[a : a + 50_000] = np.add.reduceat(weights[slot], first, axis=0)
+        out[a : a + 20_000] = np.add.reduceat(weights[slot], first, axis=0)
     return out
 
 
@@ -169,7 +169,9 @@ def train(df: DataFrame, learn: Column | None = None, id_col: str = "doc_id", te
     chosen = chosen.orderBy("nth", "lang").limit(DOCS_PER_LANGUAGE * MOST_LANGUAGES).select("lang", "h")
     short = F.concat_ws(" ", F.slice(F.split("t", r"[ \t-\r]+"), 1, WORDS_PER_DOC))
     texts = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", short.alias("t"), "h").dropDuplicates(["lang", "h"])  # bounded by the two constants
-    return fit([(r["lang"], r["t"]) for r in texts.orderBy("h", "lang").collect()])
+    model = fit([(r["lang"], r["t"]) for r in texts.orderBy("h", "lang").collect()])
+    release()  # the driver lives on
+    return model
 
 
 def label_words(model: Model, words: list[str]) -> list[tuple[str, float]]:
@@ -215,7 +217,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     schema = df.select([df[c] for c in kept]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 8 << 20):
+        for batch in slices(batches, text_col, 3 << 20):
             langs, *scores = predict_batch(shipped.value, batch.column(text_at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), *(pa.array(np.clip(s, 0, 1), pa.float64()) for s in scores[: len(added) - 1])], [*kept, *added])
 
