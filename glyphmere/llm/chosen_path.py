@@ -39,7 +39,7 @@ from glyphmere.llm._common import as_bytes, forget, often_of, parts_of, release,
 from glyphmere.llm._shingles import mixed, set_key, shingle_sets
 from glyphmere.llm.components import components
 
-TOKENS, DEPTH = 64, 5
+TOKENS, DEPTH = 64, 3
 #: Sets of a bucket that are compared with each other.
 SMALL = 16
 #: Texts compared in one task.
