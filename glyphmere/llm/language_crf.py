@@ -130,11 +130,13 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Model | None:
     gold = np.concatenate([np.full(len(r), k) for s in sequences for k, r in s])
     lengths = np.array([sum(len(r) for _, r in s) for s in sequences])
     starts = np.cumsum(lengths) - lengths
-    slot, of = word_features(list(number))
+    slot, of = (x.astype(np.int32) for x in word_features(list(number)))
     first = np.flatnonzero(np.diff(of, prepend=-1))
-    by_slot = np.argsort(slot, kind="stable")
-    cuts = np.flatnonzero(np.diff(slot[by_slot], prepend=-1))
-    used, n = slot[by_slot][cuts], len(languages)
+    by_slot = np.argsort(slot, kind="stable").astype(np.int32)
+    ranked, word_of = slot[by_slot], of[by_slot]
+    cuts = np.flatnonzero(np.diff(ranked, prepend=-1))
+    used, n = ranked[cuts], len(languages)
+    del of, by_slot, ranked
     inner = np.ones(len(ids), bool)
     inner[starts] = False
     pairs = np.zeros((n, n))
@@ -146,11 +148,11 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Model | None:
     want = np.zeros((len(number), n))
     np.add.at(want, (ids, gold), 1)
     for _ in range(PASSES):
-        potentials = np.add.reduceat(model.weights[slot], first, axis=0)
+        potentials = np.stack([np.add.reduceat(model.weights[:, k][slot], first) for k in range(n)], 1)  # a language at a time, to hold less
         expect = np.zeros((n, n))
         post = posteriors(model, potentials[ids], starts, lengths, expect)
         got = np.stack([np.bincount(ids, post[:, k], len(number)) for k in range(n)], 1)
-        grad = np.add.reduceat((want - got)[of[by_slot]], cuts, axis=0) / len(ids) - 1e-6 * model.weights[used]
+        grad = np.stack([np.add.reduceat((want - got)[:, k][word_of], cuts) for k in range(n)], 1) / len(ids) - 1e-6 * model.weights[used]
         squares += grad * grad
         model.weights[used] += (0.2 * grad / np.sqrt(squares)).astype(np.float32)
         tgrad = (pairs - expect) / len(ids)
