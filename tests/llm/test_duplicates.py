@@ -415,3 +415,67 @@ def test_own_repeats_are_left_unless_asked_for(spark):
     df = spark.createDataFrame([(1, p + " q " + p), (2, "other words"), (3, "x " + p)], "doc_id long, text string")
     assert {r.doc_id: r.n_cut for r in compact_windows.find_repeats(df).collect()} == {1: 0, 2: 0, 3: 70}
     assert {r.doc_id: r.n_cut for r in compact_windows.find_repeats(df, within=True).collect()} == {1: 70, 2: 0, 3: 70}
+
+
+def crowd(rng, n):
+    """Documents 0..n-1 and n..2n-1: the second's passage k is the first's with a word changed. Passages are 6 words of their own and 44 that all share."""
+    stock = [f"s{i}" for i in range(44)]
+    first = [[f"own{k}_{i}" for i in range(6)] + stock for k in range(n)]
+    changed = [p[:22] + [f"x{k}"] + p[23:] for k, p in enumerate(first)]
+    return [[f"v{i}" for i in rng.integers(0, 5000, 30)] + p + [f"v{i}" for i in rng.integers(0, 5000, 30)] for p in first + changed]
+
+
+def test_changed_passages_of_large_groups_meet_every_earlier_member(spark, monkeypatch):
+    docs = crowd(np.random.default_rng(11), 40)
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    want = {40 + k: [(30, 80, k)] for k in range(40)}
+    for alone, block in ((2_000, 8_192), (7, 5)):  # groups shared out, members compared in blocks
+        monkeypatch.setattr(compact_windows, "ALONE", alone)
+        monkeypatch.setattr(compact_windows, "BLOCK", block)
+        monkeypatch.setattr(compact_windows, "FIRST_BLOCK", min(block, 64))
+        got = {r.doc_id: [(s.first, s.end, s.of) for s in r.repeats] for r in compact_windows.find_repeats(df).collect()}
+        assert all(got[k] == [] for k in range(40))
+        assert {k: got[k] for k in want} == want
+
+
+def test_members_of_a_group_against_all_pairs(monkeypatch):
+    monkeypatch.setattr(compact_windows, "FIRST_BLOCK", 4)
+    rng = np.random.default_rng(12)
+    for case in range(30):
+        n, m = int(rng.integers(9, 40)), 149
+        near = rng.integers(1, 1 << 32, (n, m)).astype("<u4")
+        stock = rng.integers(1, 1 << 32, (3, m)).astype("<u4")
+        for row in near:
+            a, b = np.sort(rng.integers(0, m + 1, 2))
+            row[a:b] = stock[rng.integers(0, 3), a:b]
+            row[rng.integers(0, m, 4)] = stock[0, :4]
+            if case % 3 == 0:  # moved: the same shingles at other places
+                row[:] = np.roll(row, int(rng.integers(-1, 2)))
+            row[: rng.integers(0, 20)] = 0
+        docs = np.sort(rng.integers(0, n, n))
+        for within in (False, True):
+            got = compact_windows.alike(near, docs, 50, 0.8, within)
+            assert sorted(got) == sorted(p for t in range(3) for p in compact_windows.alike(near, docs, 50, 0.8, within, t, 3))
+            kept = {}
+            for i, j in got:
+                kept.setdefault(i, []).append(j)
+            for i in range(n):
+                mine = set(near[i].tolist()) - {0}
+                need = 0.8 * (46 - (np.count_nonzero(near[i]) - len(mine)))
+                for j in range(i):
+                    if not within and docs[i] == docs[j]:
+                        continue
+                    both = mine & set(near[j].tolist())
+                    if len(both) >= max(need, 1):
+                        places = [p for p in range(m) if near[j, p] in both]
+                        mine_at = [p for p in range(m) if near[i, p] in both]
+                        inside = {p for e in kept.get(i, []) for x, y in compact_windows._level_repeats((near[i] == near[e]) & (near[i] != 0), near[i], near[e], 50, 0.8) for p in range(x, y)}
+                        assert set(range(mine_at[0], mine_at[-1] + 1)) <= inside or any((near[e, places] == near[j, places]).all() for e in kept.get(i, []))
+
+
+def test_changed_copies_of_a_passage_that_its_document_repeats(spark):
+    p = [f"w{i}" for i in range(80)]
+    changed = p[:40] + ["x"] + p[41:]
+    own = [[f"{c}{i}" for i in range(20)] for c in "abc"]
+    df = spark.createDataFrame([(1, " ".join(own[0] + changed)), (2, " ".join(p + own[1] + own[2] + own[0][:9] + own[1][:9] + p))], "doc_id long, text string")
+    assert {r.doc_id: r.n_cut for r in compact_windows.find_repeats(df).collect()} == {1: 0, 2: 160}
