@@ -479,3 +479,13 @@ def test_changed_copies_of_a_passage_that_its_document_repeats(spark):
     own = [[f"{c}{i}" for i in range(20)] for c in "abc"]
     df = spark.createDataFrame([(1, " ".join(own[0] + changed)), (2, " ".join(p + own[1] + own[2] + own[0][:9] + own[1][:9] + p))], "doc_id long, text string")
     assert {r.doc_id: r.n_cut for r in compact_windows.find_repeats(df).collect()} == {1: 0, 2: 160}
+
+
+def test_pipeline_cuts_changed_passages_of_large_groups(spark):
+    import corpus_pipeline
+
+    docs = crowd(np.random.default_rng(13), 30)
+    df = spark.createDataFrame([(i, " ".join(d), len(" ".join(d))) for i, d in enumerate(docs)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.passages(spark, df, "").collect()}
+    assert {k: r.text.split() for k, r in got.items()} == {k: d if k < 30 else d[:30] + d[80:] for k, d in enumerate(docs)}
+    assert all(r.n_chars == len(r.text) for r in got.values())
