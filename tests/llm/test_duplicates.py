@@ -489,3 +489,39 @@ def test_pipeline_cuts_changed_passages_of_large_groups(spark):
     got = {r.doc_id: r for r in corpus_pipeline.passages(spark, df, "").collect()}
     assert {k: r.text.split() for k, r in got.items()} == {k: d if k < 30 else d[:30] + d[80:] for k, d in enumerate(docs)}
     assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_members_compared_at_once_leave_no_passage_out(monkeypatch):
+    """What ``alike`` and the chains of words find for a member lies in passages of the partners that ``like_members`` gives it; partners don't grow with the group."""
+    monkeypatch.setattr(compact_windows, "AT_ONCE", 200)
+    rng = np.random.default_rng(14)
+    for case in range(12):
+        base, members = [f"s{i}" for i in range(148)], []
+        for k in range(60):
+            w = [f"o{k}_{i}" for i in range(148)]
+            a, b = int(rng.integers(10, 60)), int(rng.integers(90, 146))
+            w[a:b] = base[a:b]
+            at = int(rng.integers(a, b))
+            if k % 3 == 1:
+                w[at] = f"e{k % 4}"
+            elif k % 3 == 2:
+                w = w[: at + 1] + [f"e{k % 4}"] + w[at + 1 : -1]
+            if case % 3 == 0 and k % 5 == 0:
+                w[100:] = ["y"] * 48
+            members.append(w)
+        number = {}
+        words = np.array([[number.setdefault(x, len(number)) for x in w] for w in members], np.uint64)
+        near = np.array([(compact_windows.shingles(compact_windows.mixed(w))[:144] >> np.uint64(32)).astype("<u4") | np.uint32(1) for w in words])
+        docs = np.arange(60)
+        got = compact_windows.like_members(near, docs, 50, 0.8)
+        assert len(got) == len({tuple(r) for r in got.tolist()}) and len({(i, j) for i, j, _ in got.tolist()}) <= 4 * 60
+        both = np.concatenate([compact_windows.like_members(near, docs, 50, 0.8, False, t, 3) for t in range(3)])
+        assert {i for i, _, _ in both.tolist()} == {i for i, _, _ in got.tolist()}
+        found = [np.zeros(148, bool) for _ in docs]
+        for i, j in {(i, j) for i, j, _ in got.tolist()}:
+            lines = [(-int(d), 74, 74) for x, y, d in got if (x, y) == (i, j)]
+            for x, y, _ in compact_windows.repeats(words[i], [(0, words[j], lines)], 50, 0.8, False):
+                found[i][x:y] = True
+        for i, j in compact_windows.alike(near, docs, 50, 0.8):
+            for x, y, _ in compact_windows.repeats(words[i], [(0, words[j], [(0, 74, 74)])], 50, 0.8, False):
+                assert found[i][x:y].all()
